@@ -101,4 +101,6 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
         out = features(out, text, needs(rule) - have, F.col("kept"))
         have |= needs(rule)
         out = out.withColumn("kept", F.col("kept") & ~F.coalesce(F.expr(rule.fails), F.lit(False)))
+    # Always true, but not to the optimizer: a filter on kept pushed down would hold a copy of every feature for each use.
+    out = out.withColumn("kept", F.col("kept") & (F.rand(0) >= 0))
     return out.drop("__t", "__w", "__l", "__g", "__r")

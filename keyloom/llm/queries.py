@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, minhash, quality, sharding, url_filter
+from . import decontaminate, license_scan, line_dedup, lm_scoring, minhash, packing, quality, sharding, token_counts, url_filter
 from .common import read_table
 
 #: The rules of op1.
@@ -49,9 +49,35 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), size=1024, end=2)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    out = lm_scoring.score(read_table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return out.select("doc_id", (~F.col("learns")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filters, op2_minhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_decontamination, op6_sharding)
-}
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_minhash_near_dedup, op3_quality_rules, op4_line_dedup, op5_decontamination,
+        op6_sharding, op7_token_counts, op8_license_scan, op9_best_fit_packing, op10_lm_scoring,
+    )
+}
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 SQL: dict[str, str] = {
