@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,89 +19,98 @@ SAMPLE_ROWS = 1000
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected where `fails` (SQL over the columns of `features`) is true."""
+    """A document is rejected where `fails`, given a function from a feature's name to its column, is true."""
 
     name: str
-    fails: str
+    needs: tuple[str, ...]
+    fails: Callable[[Callable[[str], Column]], Column]
 
 
 #: In the order of definition; the cascade puts them in its own.
 RULES = (
-    Rule("few_words", "n_words < 50"),
-    Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("word_length", "word_chars < 3 * n_words or word_chars > 12 * n_words"),
-    Rule("repeated_lines", "2 * n_dup_lines > n_lines"),
-    Rule("letters", "10 * n_letter_words < 8 * n_words"),
+    Rule("few_words", ("n_words",), lambda f: f("n_words") < 50),
+    Rule("repeated_words", ("n_words", "n_repeat_words"), lambda f: 100 * f("n_repeat_words") > 50 * f("n_words")),
+    Rule("symbols", ("n_words", "n_symbols"), lambda f: 10 * f("n_symbols") > f("n_words")),
+    Rule("word_length", ("n_words", "word_chars"), lambda f: (f("word_chars") < 3 * f("n_words")) | (f("word_chars") > 12 * f("n_words"))),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda f: 2 * f("n_dup_lines") > f("n_lines")),
+    Rule("letters", ("n_words", "n_letter_words"), lambda f: 10 * f("n_letter_words") < 8 * f("n_words")),
 )
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words")
-
-
-def features(docs: DataFrame, text: str, of: set[str], alive: Column | None = None) -> DataFrame:
-    """docs with the features named: n_words; word_chars (code points in words); n_symbols; n_lines
-    (with a word); n_dup_lines (equal to an earlier one); n_repeat_words (words in three-word windows
-    that the text has twice or more; windows are told apart by 64-bit hashes); n_letter_words.
-
-    Where alive is false they are null and cost nothing."""
-    on = lambda e: e if alive is None else F.when(alive, e)
-    out = docs if "__t" in docs.columns else docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
-    if of & {"n_words", "n_repeat_words", "n_letter_words"} and "__w" not in out.columns:
-        out = out.withColumn("__w", on(F.filter(F.split("__t", f"[{SPACE}]+"), lambda w: w != "")))
-    if of & {"n_lines", "n_dup_lines"} and "__l" not in out.columns:
-        out = out.withColumn("__l", on(F.filter(F.split("__t", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))))
-    if "n_repeat_words" in of:
-        # Sorted (hash, position) of the windows: equal neighbours repeat.
-        near = lambda w, i: F.struct(F.xxhash64(w, F.get("__w", i + 1), F.get("__w", i + 2)).alias("k"), i.alias("i"))
-        out = out.withColumn("__g", on(F.when(F.size("__w") > 3, F.sort_array(F.transform(F.expr("slice(__w, 1, greatest(size(__w) - 2, 0))"), near)))))
-        both = F.expr("zip_with(slice(__g, 1, size(__g) - 1), slice(__g, 2, size(__g) - 1), (a, b) -> if(a.k = b.k, array(a.i, b.i), null))")
-        out = out.withColumn("__r", F.flatten(F.filter(both, lambda x: x.isNotNull())))
-        out = out.withColumn("__r", F.when(F.size("__r") > 0, F.sort_array(F.array_distinct("__r"))))
-    steps = F.expr("zip_with(slice(__r, 1, size(__r) - 1), slice(__r, 2, size(__r) - 1), (a, b) -> least(3, b - a))")
-    made = {
-        "n_words": lambda: F.size("__w"),
-        "word_chars": lambda: F.length(F.regexp_replace("__t", f"[{SPACE}]+", "")),
-        "n_symbols": lambda: F.length("__t") - F.length(F.translate("__t", SYMBOLS, "")),
-        "n_letter_words": lambda: F.size(F.filter("__w", lambda w: w.rlike(r"\p{L}"))),
-        "n_lines": lambda: F.size("__l"),
-        "n_dup_lines": lambda: F.size("__l") - F.size(F.array_distinct("__l")),
-        "n_repeat_words": lambda: F.coalesce(F.aggregate(steps, F.lit(3), lambda a, x: a + x), F.lit(0)),
-    }
-    return out.withColumns({k: on(v().cast("long")) for k, v in made.items() if k in of})
-
-
-def needs(rule: Rule) -> set[str]:
-    return {f for f in FEATURES if f in rule.fails}
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+
+
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+
+
+def _neighbours(a: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    return F.zip_with(F.slice(a, F.lit(1), F.size(a) - 1), F.slice(a, F.lit(2), F.size(a) - 1), merge)
+
+
+def _repeat_words(w: Column) -> Column:
+    # Sorted (hash, place) of the windows: equal neighbours repeat. Then the words that their places cover.
+    windows = F.sort_array(F.transform(F.slice(w, F.lit(1), F.size(w) - 2), lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("k"), i.alias("i"))))
+    twice = lambda g: F.flatten(F.filter(_neighbours(g, lambda a, b: F.when(a["k"] == b["k"], F.array(a["i"], b["i"]))), lambda x: x.isNotNull()))
+    covered = lambda p: F.aggregate(_neighbours(p, lambda a, b: F.least(F.lit(3), b - a)), F.lit(3), lambda s, x: s + x)
+    found = _let(windows, lambda g: _let(twice(g), lambda r: F.when(F.size(r) > 0, _let(F.sort_array(F.array_distinct(r)), covered))))
+    return F.when(F.size(w) > 3, F.coalesce(found, F.lit(0))).otherwise(0)
+
+
+#: Features by name, of the text and its words (runs without white space). n_repeat_words: words in three-word windows
+#: that the text has twice or more (told apart by 64-bit hashes); n_dup_lines: lines with a word, equal to an earlier one.
+FEATURES: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda t, w: F.size(w),
+    "word_chars": lambda t, w: F.length(F.regexp_replace(t, f"[{SPACE}]+", "")),
+    "n_symbols": lambda t, w: F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+    "n_letter_words": lambda t, w: F.size(F.filter(w, lambda x: x.rlike(r"\p{L}"))),
+    "n_lines": lambda t, w: F.size(_lines(t)),
+    "n_dup_lines": lambda t, w: _let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+    "n_repeat_words": lambda t, w: _repeat_words(w),
+}
 
 
 def ordered(docs: DataFrame, text: str, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejection per second on a sample of at most sample_rows documents, best first.
 
     Only the order depends on the sample and the clock, never a verdict."""
-    sample = cut(docs.select(F.col(text).alias("text")).limit(sample_rows), "quality-sample")
+    sample = cut(docs.select(F.coalesce(F.col(text), F.lit("")).alias("t")).limit(sample_rows), "quality-sample")
     scored = []
     for rule in rules:
+        fails = _let(_words(F.col("t")), lambda w: rule.fails(lambda name: FEATURES[name](F.col("t"), w)))  # noqa: B023
         began = time.perf_counter()
-        n, bad = features(sample, "text", needs(rule)).agg(F.count("*"), F.count_if(F.expr(rule.fails))).first()
+        n, bad = sample.agg(F.count("*"), F.count_if(fails)).first()
         scored.append((-(bad + 0.5) / (n + 1) / (time.perf_counter() - began), rule.name, rule))
-    return [x[2] for x in sorted(scored)]
+    return [x[2] for x in sorted(scored, key=lambda x: x[:2])]
 
 
 def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, always: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs with kept and the features of the rules (columns of these names are replaced).
+    """docs with kept and the features in always (columns of these names are replaced).
 
-    kept is false where any rule fails. The rules run in the order of `ordered`; once a row has
-    failed one, later rules neither run nor have their features computed for it (they are null),
-    but for the features in always. One pass, no shuffle: a hot key is harmless.
+    kept is false where any rule fails. The rules are the branches of one CASE in the order of
+    `ordered`: once a row has failed one, later rules neither run nor have their features
+    computed for it, but for those in always. One pass, no shuffle: a hot key is harmless.
     Null texts count as empty (no words: rejected by few_words); repeated rows are each judged;
     an empty table gives an empty one.
     """
-    have = set(always)
-    out = features(docs.drop("kept", "__t", "__w", "__l", "__g", "__r", *(c for c in FEATURES if c != text)), text, have)
-    out = out.withColumn("kept", F.lit(True))
-    for rule in ordered(docs, text, rules, sample_rows):
-        out = features(out, text, needs(rule) - have, F.col("kept"))
-        have |= needs(rule)
-        out = out.withColumn("kept", F.col("kept") & ~F.coalesce(F.expr(rule.fails), F.lit(False)))
-    # Always true, but not to the optimizer: a filter on kept pushed down would hold a copy of every feature for each use.
-    out = out.withColumn("kept", F.col("kept") & (F.rand(0) >= 0))
-    return out.drop("__t", "__w", "__l", "__g", "__r")
+    order = ordered(docs, text, rules, sample_rows)
+    out = docs.drop("kept", "__t", "__w", *(c for c in always if c != text)).withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    t = F.col("__t")
+    if always:
+        out = out.withColumn("__w", _words(t))
+        out = out.withColumns({name: FEATURES[name](t, F.col("__w")).cast("long") for name in always})
+
+    def verdict(w: Column) -> Column:
+        one = F.when(F.lit(False), False)
+        for rule in order:
+            one = one.when(rule.fails(lambda name: F.col(name) if name in always else FEATURES[name](t, w)), False)
+        return one.otherwise(True)
+
+    out = out.withColumn("kept", verdict(F.col("__w")) if always else _let(_words(t), verdict))
+    return out.drop("__t", "__w")
