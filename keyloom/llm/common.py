@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+WAVES = 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,10 +37,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, so a lost executor costs one re-read, and gives joins a plain scan on
     this side, so that adaptive execution can split a hot key (it can't below an aggregate).
+    At most WAVES tasks a core write: a small table in very many partitions would cost a file for each.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(WAVES * spark.sparkContext.defaultParallelism).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -32,7 +32,11 @@ def components(links: DataFrame) -> DataFrame:
         edges = small
 
 
-def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+#: Nodes of a bucket from which on `linked` looks for a finer one.
+LARGE = 200
+
+
+def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (node, component) of the verified links among nodes that share a bucket.
 
     postings: bucket, node (buckets of two nodes or more). facts: node and what `may` compares
@@ -41,20 +45,26 @@ def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Colu
     Every bucket first links its nodes to its least one, which is linear in its size. What that
     leaves in different components is then compared across components only: pairs inside a
     component can't change the result. So all links count, and a large group of copies costs
-    about one pair a copy.
+    about one pair a copy. For that comparison the nodes of buckets of more than LARGE nodes are
+    dealt anew by finer (rows of facts to narrower buckets that a pair worth verifying still shares).
     """
     least = cut(postings.groupBy("bucket").agg(F.min("node").alias("a")), "bucket-least")
     pairs = postings.join(least, "bucket").filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    first = cut(verify(_possible(pairs, facts, may)), "links-star")
+    pairs = _possible(pairs, facts, may)
+    first = cut(verify(pairs), "links-star")
     comp = cut(components(first), "links-components")
     tagged = cut(postings.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "links-tagged")
-    mixed = cut(tagged.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("bucket"), "links-mixed")
-    left = cut(tagged.join(mixed, "bucket").join(facts, "node"), "links-left")
+    sizes = cut(tagged.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi"), "links-mixed")
+    if finer:
+        large = cut(tagged.join(sizes.filter(F.col("size") > LARGE).select("bucket"), "bucket").select("node", "c").distinct(), "links-large")
+        dealt = finer(large.join(facts, "node")).join(large, "node")
+        some = cut(dealt.select("bucket", "node", "c").union(tagged.join(sizes.filter(F.col("size") <= LARGE).select("bucket"), "bucket").select("bucket", "node", "c")), "links-dealt")
+        sizes = cut(some.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi"), "links-mixed")
+        tagged = some
+    left = cut(tagged.join(sizes.select("bucket"), "bucket").join(facts, "node"), "links-left")
     one, two = (left.select(*(F.col(c).alias(f"{p}_{c}") for c in left.columns)) for p in "ab")
     across = one.join(two, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_c") != F.col("b_c")) & may("a_", "b_"))
-    # Pairs with a bucket's least node were tried.
-    across = across.select(F.col("a_bucket").alias("bucket"), F.col("a_node").alias("node"), "b_node").join(least, "bucket")
-    across = across.filter("node != a").select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()
+    across = across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = cut(verify(cut(across, "links-across")), "links-more")
     if more.isEmpty():
         return comp

@@ -1,10 +1,11 @@
 """Near-duplicate documents: an inverted join on MinHash signature coordinates.
 
 Each document's signature has COORDINATES values; a coordinate and its value are one item. Two
-documents are candidates where AGREE items or more collide. Items are ordered by how many
-documents hold them, rarest first: two documents with AGREE common items share one among the
-first COORDINATES - AGREE + 1 items of each, so only these are posted, and the lists skipped
-are the longest. Candidates' collisions are then counted on whole signatures.
+documents are candidates where MATCHES items or more collide, of the first POSTED coordinates
+AGREE or more. The items of these are ordered by how many documents hold them, rarest first: two
+documents with AGREE common ones share one among the first POSTED - AGREE + 1 items of each, so
+only these are posted, and the lists skipped are the longest. Candidates' collisions are
+then counted on whole signatures.
 """
 
 from __future__ import annotations
@@ -19,9 +20,14 @@ from pyspark.sql import functions as F
 from .common import Words, cut
 from .components import linked
 
-#: A pair of Jaccard similarity 0.8 has fewer than AGREE of COORDINATES collisions with probability
-#: 2e-9 (binomial); of 0.85 with 9e-12.
-COORDINATES, AGREE = 28, 9
+#: A pair of Jaccard similarity 0.8 has fewer than AGREE collisions in POSTED coordinates, or than MATCHES in
+#: all, with probability 4e-7 (binomial); one of 0.85 with 3e-10.
+COORDINATES, MATCHES = 64, 34
+POSTED, AGREE = 28, 9
+#: Longs of a set's odd sketch: a bit for each class of shingles, set where their number is odd. Two sets differ
+#: in at least as many shingles as their sketches do in bits, so comparing these loses nothing.
+ODD = 8
+BANDS = 40
 SHINGLE = 5
 _SEED = np.random.default_rng(20240229)
 _A = _SEED.integers(1, 2**63, COORDINATES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,27 +62,44 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32).view(np.int32)
 
 
+def _banded(nodes: DataFrame) -> DataFrame:
+    """Postings of nodes under BANDS samples of four coordinates: a pair of 0.8 shares none with probability 7e-10."""
+    rng = np.random.default_rng(11)
+    bands = [sorted(rng.choice(COORDINATES, 4, replace=False).tolist()) for _ in range(BANDS)]
+    return nodes.select("node", F.explode(F.array(*(F.xxhash64(F.lit(-1 - n), *(f"s{i}" for i in b)) for n, b in enumerate(bands)))).alias("bucket"))
+
+
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    classes = (s >> np.uint64(64) - np.uint64((64 * ODD).bit_length() - 1)).astype(np.int64)
+    return np.packbits((np.bincount(classes, minlength=64 * ODD) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     words = Words()
     for b in batches:
         ids, texts = b.column(0), b.column(1)
-        n, prints, sigs = [], [], []
+        n, prints, sigs, odd = [], [], [], []
         for t in texts:
             s = shingles(t.as_py(), words, width)
             n.append(len(s))
             prints.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             sigs.append(signature(s))
+            odd.append(odd_sketch(s))
         flat = np.array(sigs, np.int32).reshape(len(n), COORDINATES)
+        sketch = np.array(odd, np.int64).reshape(len(n), ODD)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), *(pa.array(np.ascontiguousarray(flat[:, i])) for i in range(COORDINATES))],
-            ["doc_id", "n_shingles", "print", *(f"s{i}" for i in range(COORDINATES))],
+            [ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(ODD)), *(pa.array(np.ascontiguousarray(flat[:, i])) for i in range(COORDINATES))],
+            ["doc_id", "n_shingles", "print", *(f"o{i}" for i in range(ODD)), *(f"s{i}" for i in range(COORDINATES))],
         )
 
 
-def _agree(a: str, b: str) -> Column:
-    return sum((F.col(f"{a}s{i}") == F.col(f"{b}s{i}")).cast("int") for i in range(COORDINATES)) >= AGREE
+def _agree(a: str, b: str, percent: int) -> Column:
+    m, n = F.col(f"{a}n_shingles"), F.col(f"{b}n_shingles")
+    apart = sum(F.bit_count(F.col(f"{a}o{i}").bitwiseXOR(F.col(f"{b}o{i}"))) for i in range(ODD))
+    alike = sum((F.col(f"{a}s{i}") == F.col(f"{b}s{i}")).cast("int") for i in range(COORDINATES))
+    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & ((100 + percent) * apart <= (100 - percent) * (m + n)) & (alike >= MATCHES)
 
 
 def _checked(batches: Iterator[pa.RecordBatch], percent: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -105,12 +128,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, te
     are judged each by its own text, equal ones alike; an empty table gives an empty one. Other columns don't matter.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fields = ", ".join(["doc_id long", "n_shingles long", "print binary", *(f"s{i} int" for i in range(COORDINATES))])
+    fields = ", ".join(["doc_id long", "n_shingles long", "print binary", *(f"o{i} long" for i in range(ODD)), *(f"s{i} int" for i in range(COORDINATES))])
     sigs = cut(rows.mapInArrow(lambda b: _signed(b, width), fields), "minhash-signatures")
     owned = sigs.filter("print is not null and doc_id is not null")
-    reps = cut(owned.groupBy("print").agg(F.min("doc_id").alias("node"), *(F.min(f"s{i}").alias(f"s{i}") for i in range(COORDINATES))), "minhash-classes")
+    reps = cut(owned.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), *(F.min(f"o{i}").alias(f"o{i}") for i in range(ODD)), *(F.min(f"s{i}").alias(f"s{i}") for i in range(COORDINATES))), "minhash-classes")
     facts = reps.drop("print")
-    item = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col(f"s{i}")) for i in range(COORDINATES)))).alias("bucket")
+    item = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col(f"s{i}")) for i in range(POSTED)))).alias("bucket")
     items = reps.select("node", item)
     counted = cut(items.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-items")
     held = items.join(counted, "bucket").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("i"))
@@ -125,7 +148,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, te
         full = pairs.join(side("a"), "a").join(side("b"), "b").sortWithinPartitions("a")
         return full.mapInArrow(lambda b: _checked(b, percent, width), "a long, b long").distinct()
 
-    comp = linked(postings, facts, _agree, verify)
+    comp = linked(postings, facts, lambda a, b: _agree(a, b, percent), verify, _banded)
     classes = cut(reps.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")), "minhash-result")
     out = sigs.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
