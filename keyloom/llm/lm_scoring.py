@@ -86,10 +86,13 @@ class EliasFano:
         stop = self._select(high, False) - high
         at, last = np.clip(first, begin, end), np.clip(stop, begin, end)
         want = values & np.uint64((1 << 8 * self.low_bytes) - 1)
+        # Equal high parts are in order of their low parts: bisect.
         live = np.flatnonzero(at < last)
         while len(live):
-            live = live[self._lows(at[live]) < want[live]]
-            at[live] += 1
+            middle = (at[live] + last[live]) // 2
+            less = self._lows(middle) < want[live]
+            at[live[less]] = middle[less] + 1
+            last[live[~less]] = middle[~less]
             live = live[at[live] < last[live]]
         return at
 
