@@ -24,7 +24,7 @@ MAX_EDITS = 0.2
 #: Keys of a window: so many walks, so many samples of each, of so many places.
 WALKS, SAMPLES, PLACES = 4, 8, 3
 #: Characters of a batch of texts that are worked on at once.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
 
 
@@ -88,10 +88,18 @@ def held_distance(item: list[bytes], text: list[bytes]) -> tuple[int, int]:
     return best
 
 
+def neighbours(tokens: np.ndarray) -> np.ndarray:
+    """For each token a hash of it and the next one."""
+    return mixed(tokens[:-1] * np.uint64(0x9E3779B97F4A7C15) + tokens[1:])
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache = Words()
     for b in batches:
-        found = sorted({w for t in b.column("text").to_pylist() for w in words_of(t)})
-        yield pa.RecordBatch.from_arrays([pa.array(Words().hashes(found).view(np.int64))], ["word"])
+        tokens = [cache.hashes(words_of(t)) for t in b.column("text").to_pylist()]
+        for of, found in enumerate((tokens, [neighbours(t) for t in tokens if len(t)])):
+            found = np.unique(np.concatenate([np.empty(0, np.uint64), *found])).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), of, np.int32)), pa.array(found)], ["of", "word"])
 
 
 def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +111,7 @@ def _item_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array([item.as_py()] * len(k), item.type), pa.array([b" ".join(w).decode("utf-8", "replace")] * len(k))], ["key", "item_id", "item"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], windows: dict[int, tuple[int, int]], vocabulary: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], windows: dict[int, tuple[int, int]], vocabulary: tuple[np.ndarray, np.ndarray], marks: tuple[np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     cache = Words()
     most = max(windows)
 
@@ -111,19 +119,25 @@ def _candidates(batches: Iterator[pa.RecordBatch], windows: dict[int, tuple[int,
         gap = np.zeros(most, np.uint64)
         tokens = np.concatenate([x for t in texts for x in (cache.hashes(t), gap)])
         firsts = np.cumsum([0, *(len(t) + most for t in texts)])
-        known = np.concatenate([[0], np.cumsum(in_bitmap(vocabulary, tokens) & (tokens != 0))])
+        known = np.concatenate([[0], np.cumsum(in_bitmap(vocabulary[0], tokens) & (tokens != 0))])
+        paired = np.concatenate([[0], np.cumsum(in_bitmap(vocabulary[1], neighbours(tokens)))])
         for size, (edits, longest) in windows.items():
             n = len(tokens) - size + 1
-            starts = np.flatnonzero(known[size : size + n] - known[:n] >= max(1, size - edits))
+            # An edit changes one word and two pairs of neighbours at most.
+            starts = np.flatnonzero((known[size : size + n] - known[:n] >= max(1, size - edits)) & (paired[size - 1 : size - 1 + n] - paired[:n] >= size - 1 - 2 * edits))
             for at in range(0, len(starts), 200_000):
                 part = starts[at : at + 200_000]
                 k = walk_keys(tokens, part, size)
-                row, col = np.nonzero(in_bitmap(marks, k))
+                row, col = np.nonzero(in_bitmap(marks[0], k) & in_bitmap(marks[1], k >> np.uint64(32)))
                 if not len(row):
                     continue
                 doc = np.searchsorted(firsts, part[row], "right") - 1
-                begin = np.maximum(part[row] - firsts[doc] - edits, 0)
-                cuts = [b" ".join(texts[d][b : b + longest + 3 * edits]).decode("utf-8", "replace") for d, b in zip(doc, begin, strict=True)]
+                # Passages begin at multiples of the edits, so that windows near each other give one.
+                grid = max(1, edits)
+                begin = np.maximum(part[row] - firsts[doc] - edits, 0) // grid * grid
+                first = np.unique(np.stack([col, begin, doc, k[row, col].view(np.int64)]), axis=1, return_index=True)[1]
+                row, col, doc, begin = row[first], col[first], doc[first], begin[first]
+                cuts = [b" ".join(texts[d][b : b + longest + 3 * edits + grid]).decode("utf-8", "replace") for d, b in zip(doc, begin, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(k[row, col].view(np.int64)), pa.array([ids[d] for d in doc], pa.int64()), pa.array(begin), pa.array(cuts, pa.string())], ["key", "doc_id", "at", "part"])
 
     for b in batches:
@@ -156,11 +170,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
     """(doc_id, item_id, edits, end_word) for each benchmark item that a document holds within
     max_edits edits a word: the fewest edits, and the first place (words from 0, exclusive) where the passage with them ends.
 
-    Every place of every text is a window. A window is walked only where enough of its words
-    occur in the benchmark at all: with e edits allowed, all but e must, so nothing is lost. For
-    that, and to send on only windows whose key some item has, tasks hold two bitmaps of fixed
-    size (of the benchmark's words and keys), whatever the size of the benchmark; the keys
-    then meet by an ordinary equi-join, and words are compared exactly in the end.
+    Every place of every text is a window. A window is walked only where enough of its words and
+    pairs of neighbouring words occur in the benchmark at all: with e edits allowed, all but e
+    words and all but 2 e pairs must, so nothing is lost. For that, and to send on only windows
+    whose key some item has, tasks hold bitmaps of fixed size (of the benchmark's words, pairs and
+    the two halves of keys), whatever the size of the benchmark; the keys then meet by an ordinary
+    equi-join, and words are compared exactly in the end.
 
     Null or wordless texts and items hold nothing and are held by nothing. Rows that repeat a
     doc_id are one document; null doc_ids are kept as one too. Equal items are all reported. Empty tables give an empty one.
@@ -176,8 +191,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
     schema = "doc_id long, item_id long, edits long, end_word long"
     if not windows:
         return docs.sparkSession.createDataFrame([], schema)
-    vocabulary = bitmap(items.mapInArrow(_vocabulary, "word long"), "word", 20)
-    marks = bitmap(keys, "key", 22)
+    said = cut(items.mapInArrow(_vocabulary, "of int, word long"), "leak-words")
+    vocabulary = bitmap(said.filter("of = 0"), "word", 20), bitmap(said.filter("of = 1"), "word", 22)
+    marks = bitmap(keys, "key", 22), bitmap(keys.select(F.shiftright("key", 32).alias("key")), "key", 22)
     found = rows.mapInArrow(lambda b: _candidates(b, windows, vocabulary, marks), "key long, doc_id long, at long, part string")
     pairs = cut(found.join(keys, "key").select("doc_id", "item_id", "at", "part", "item").distinct(), "leak-candidates")
     checked = pairs.mapInArrow(lambda b: _verified(b, max_edits), schema)
