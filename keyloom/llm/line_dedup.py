@@ -10,6 +10,7 @@ bit-parallel edit distance in a band of t around the diagonal.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ _R = np.random.default_rng(5)
 _CHAR = _R.integers(0, 2**63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
+#: Characters of texts whose substring hashes are held at once, and lines of which a task remembers that it has posted them.
+CHUNK, REMEMBERED = 1_000_000, 1_000_000
 
 
 def banded_distance(a: str, b: str, limit: int) -> int:
@@ -73,6 +76,29 @@ def banded_distance(a: str, b: str, limit: int) -> int:
     return min(out, limit + 1)
 
 
+@lru_cache(8)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base to the powers 0 to n, from a table of a power of two entries that the worker keeps."""
+    return _powers(base, 1 << n.bit_length())[: n + 1]
+
+
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of the first text, texts) of runs of texts of about CHUNK characters."""
+    at, size, held = 0, 0, []
+    for i, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size > CHUNK:
+            yield at, held
+            at, size, held = i + 1, 0, []
+    if held:
+        yield at, held
+
+
 class Lines:
     """The lines of some texts that have min_chars characters or more (white space at their ends
     taken off), with hashes of any of their substrings from one pass over their characters."""
@@ -88,10 +114,9 @@ class Lines:
         self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64) if found else self.n
         self.codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32)
         chars = _CHAR[self.codes & np.uint32(0xFFFF)]
-        power = lambda b: np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(chars), b, np.uint64)]))
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(chars * power(_BASE)[:-1], dtype=np.uint64)])
-            self.back = power(_BACK)
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(chars * powers(_BASE, len(chars))[:-1], dtype=np.uint64)])
+            self.back = powers(_BACK, len(chars))
         self.h = mixed(self.part(self.start, self.n) + self.n.astype(np.uint64)) if found else np.empty(0, np.uint64)
 
     def part(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -134,18 +159,25 @@ def keys(lines: Lines, which: np.ndarray, edits: int) -> Iterator[tuple[np.ndarr
 
 def _met(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = Lines(b.column(1).to_pylist(), min_chars)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0).take(pa.array(x.rows)), pa.array(x.at), pa.array(x.h.view(np.int64)), pa.array(x.n), pa.array(x.profile(False)), pa.array(x.profile(True))],
-            ["doc_id", "line", "node", "n", "chars", "pairs"],
-        )
+        for first, texts in chunks(b.column(1)):
+            x = Lines(texts, min_chars)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(x.rows + first)), pa.array(x.at), pa.array(x.h.view(np.int64)), pa.array(x.n), pa.array(x.profile(False)), pa.array(x.profile(True))],
+                ["doc_id", "line", "node", "n", "chars", "pairs"],
+            )
 
 
 def _posted(batches: Iterator[pa.RecordBatch], min_chars: int, edits: int) -> Iterator[pa.RecordBatch]:
+    seen = np.empty(0, np.uint64)
     for b in batches:
-        x = Lines(b.column(0).to_pylist(), min_chars)
-        for k, at in keys(x, np.unique(x.h, return_index=True)[1], edits):
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(x.h[at].view(np.int64))], ["bucket", "node"])
+        for _, texts in chunks(b.column(0)):
+            x = Lines(texts, min_chars)
+            at = np.unique(x.h, return_index=True)[1]
+            place = np.searchsorted(seen, x.h[at])
+            at = at[seen[np.minimum(place, len(seen) - 1)] != x.h[at]] if len(seen) else at
+            seen = np.sort(np.concatenate([seen if len(seen) < REMEMBERED else seen[:0], x.h[at]]))
+            for k, which in keys(x, at, edits):
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(x.h[which].view(np.int64))], ["bucket", "node"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +200,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(batches: Iterator[pa.RecordBatch], min_chars: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x = Lines(b.column(0).to_pylist(), min_chars)
-        at = np.unique(x.h, return_index=True)[1]
-        at = at[in_bitmap(marks, x.h[at])]
-        yield pa.RecordBatch.from_arrays([pa.array(x.h[at].view(np.int64)), pa.array([x.text[i] for i in at], pa.string())], ["node", "text"])
+        for _, texts in chunks(b.column(0)):
+            x = Lines(texts, min_chars)
+            at = np.unique(x.h, return_index=True)[1]
+            at = at[in_bitmap(marks, x.h[at])]
+            yield pa.RecordBatch.from_arrays([pa.array(x.h[at].view(np.int64)), pa.array([x.text[i] for i in at], pa.string())], ["node", "text"])
 
 
 def _checked(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
