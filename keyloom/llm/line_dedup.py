@@ -1,10 +1,11 @@
 """Near-duplicate lines: a segment-partition edit join over the distinct lines of a corpus.
 
-With threshold t a line of n characters is cut into t + 1 even segments. A line within t edits
+With threshold t a line of n characters is cut into t + 1 even segments. A longer line within t edits
 has at least one of them unchanged, shifted by the edits before it, so each line is indexed
 under its segments and probes the substrings that a line of length n - t to n could have as
 segment i, at the places that the edits left and right of it allow. Candidates are verified by
-bit-parallel edit distance in a band of t around the diagonal.
+bit-parallel edit distance in a band of t around the diagonal. t depends on the shorter line of a
+pair: short lines are alike only where they are equal, which their hash tells.
 """
 
 from __future__ import annotations
@@ -21,10 +22,13 @@ from .common import bitmap, cut, in_bitmap
 from .components import linked
 from .minhash import mixed
 
-#: Edits within which lines are alike, and the least length (characters) of a line that may be dropped.
-EDITS, MIN_CHARS = 2, 40
+#: Edits within which lines are alike: (characters of the shorter line, edits from there on), one in 20 characters at most.
+EDITS = ((1, 0), (20, 1), (40, 2))
+#: Least length (characters) of a line that takes part: each that holds more than white space.
+MIN_CHARS = 1
 _R = np.random.default_rng(5)
 _CHAR = _R.integers(0, 2**63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
+_PLANE = np.uint64(0xA0761D6478BD642E)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 #: Characters of texts whose substring hashes are held at once, and lines of which a task remembers that it has posted them.
@@ -76,6 +80,17 @@ def banded_distance(a: str, b: str, limit: int) -> int:
     return min(out, limit + 1)
 
 
+def steps_of(edits: int | tuple[tuple[int, int], ...]) -> tuple[tuple[int, int], ...]:
+    """Steps as EDITS has them; a number holds for all lengths."""
+    return ((1, edits),) if isinstance(edits, int) else tuple(sorted(edits))
+
+
+def allowed(n: np.ndarray | int, steps: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Edits within which a line of n characters is like another one that is not shorter."""
+    at = np.searchsorted([least for least, _ in steps], n, "right")
+    return np.array([0, *(e for _, e in steps)], np.int64)[at]
+
+
 @lru_cache(8)
 def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]))
@@ -113,12 +128,15 @@ class Lines:
         self.n = np.array([len(x) for x in found], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64) if found else self.n
         self.codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars = _CHAR[self.codes & np.uint32(0xFFFF)]
+        chars = self.chars()
         with np.errstate(over="ignore"):
             self.sums = np.concatenate([[np.uint64(0)], np.cumsum(chars * powers(_BASE, len(chars))[:-1], dtype=np.uint64)])
             self.back = powers(_BACK, len(chars))
         self.h = mixed(self.part(self.start, self.n) + self.n.astype(np.uint64)) if found else np.empty(0, np.uint64)
 
+    def chars(self) -> np.ndarray:
+        return _CHAR[self.codes & np.uint32(0xFFFF)] + (self.codes >> np.uint32(16)).astype(np.uint64) * _PLANE
+
     def part(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (self.sums[start + n] - self.sums[start]) * self.back[start]
 
@@ -126,7 +144,7 @@ class Lines:
         """For each line a bit for each class of its characters (or pairs of neighbours): set where their number is odd."""
         if not len(self.n):
             return np.empty(0, np.int64)
-        c = _CHAR[self.codes & np.uint32(0xFFFF)]
+        c = self.chars()
         if pairs:
             c = mixed(c * np.uint64(31) + np.concatenate([c[1:], c[:1]]))
             c[self.start + self.n - 1] = 0
@@ -143,18 +161,22 @@ def segment(n: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndarray]:
     return i * q + np.maximum(0, i - short), q + (i >= short)
 
 
-def keys(lines: Lines, which: np.ndarray, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(key, number of the line) of all index and probe entries of the lines in which."""
-    n, start = lines.n[which], lines.start[which]
-    for less in range(edits + 1):
-        size = n - less
-        for i in range(edits + 1):
-            at, part = segment(size, i, edits)
-            salt = (size * (edits + 1) + i).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-            low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
-            for move in range(low, high + 1):
-                fits = (at + move >= 0) & (at + move + part <= n) & (part > 0)
-                yield mixed(lines.part((start + at + move)[fits], part[fits]) ^ salt[fits]), which[fits]
+def keys(lines: Lines, which: np.ndarray, steps: tuple[tuple[int, int], ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, number of the line) of all index and probe entries of the lines in which.
+
+    Lines that allow no edit have none: those that equal them are the same node."""
+    for edits in sorted({e for _, e in steps} - {0}):
+        for less in range(edits + 1):
+            some = which[allowed(lines.n[which] - less, steps) == edits]
+            n, start = lines.n[some], lines.start[some]
+            size = n - less
+            for i in range(edits + 1):
+                at, part = segment(size, i, edits)
+                salt = (size * (edits + 1) + i).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+                low, high = max(-i, less - (edits - i)), min(i, less + (edits - i))
+                for move in range(low, high + 1):
+                    fits = (at + move >= 0) & (at + move + part <= n) & (part > 0)
+                    yield mixed(lines.part((start + at + move)[fits], part[fits]) ^ salt[fits]), some[fits]
 
 
 def _met(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
@@ -167,16 +189,17 @@ def _met(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Recor
             )
 
 
-def _posted(batches: Iterator[pa.RecordBatch], min_chars: int, edits: int) -> Iterator[pa.RecordBatch]:
+def _posted(batches: Iterator[pa.RecordBatch], min_chars: int, steps: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
     seen = np.empty(0, np.uint64)
     for b in batches:
         for _, texts in chunks(b.column(0)):
             x = Lines(texts, min_chars)
             at = np.unique(x.h, return_index=True)[1]
+            at = at[allowed(x.n[at], steps) > 0]
             place = np.searchsorted(seen, x.h[at])
             at = at[seen[np.minimum(place, len(seen) - 1)] != x.h[at]] if len(seen) else at
             seen = np.sort(np.concatenate([seen if len(seen) < REMEMBERED else seen[:0], x.h[at]]))
-            for k, which in keys(x, at, edits):
+            for k, which in keys(x, at, steps):
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(x.h[which].view(np.int64))], ["bucket", "node"])
 
 
@@ -207,18 +230,20 @@ def _texts(batches: Iterator[pa.RecordBatch], min_chars: int, marks: np.ndarray)
             yield pa.RecordBatch.from_arrays([pa.array(x.h[at].view(np.int64)), pa.array([x.text[i] for i in at], pa.string())], ["node", "text"])
 
 
-def _checked(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+def _checked(batches: Iterator[pa.RecordBatch], steps: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        near = [banded_distance(x, y, edits) <= edits for x, y in zip(b.column("a_text").to_pylist(), b.column("b_text").to_pylist(), strict=True)]
+        pairs = list(zip(b.column("a_text").to_pylist(), b.column("b_text").to_pylist(), strict=True))
+        limits = allowed(np.array([min(len(x), len(y)) for x, y in pairs], np.int64), steps).tolist()
+        near = [banded_distance(x, y, e) <= e for (x, y), e in zip(pairs, limits, strict=True)]
         yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
 
-def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS, text: str = "text") -> DataFrame:
     """The lines that repeat an earlier one: doc_id, line (from 0), first_doc_id, first_line.
 
     Lines are the parts of a text between line feeds, without white space at their ends; those of
-    min_chars characters or more take part. Lines within `edits` edits are linked; a class is what
-    links connect, its first line the one of the least (doc_id, line); all others are returned.
+    min_chars characters or more take part. Lines within `edits` edits are linked (a number, or steps
+    as EDITS has them, by the shorter line); a class is what links connect, its first line the one of the least (doc_id, line); all others are returned.
 
     Equal lines are one node from the start (a combinable min). Only (hash, hash) postings are
     shuffled, once for each distinct line of an Arrow batch; a key held by very many lines goes
@@ -229,17 +254,21 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     repeat a doc_id are one document (a line of the same number is the same line); an empty table
     gives an empty one.
     """
+    steps = steps_of(edits)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
     met = cut(rows.mapInArrow(lambda b: _met(b, min_chars), "doc_id long, line long, node long, n long, chars long, pairs long"), "lines-met")
     same = ["node", "n", "chars", "pairs"]
     lines = cut(met.groupBy(*same).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")), "lines-distinct")
-    postings = rows.select("text").mapInArrow(lambda b: _posted(b, min_chars, edits), "bucket long, node long")
+    postings = rows.select("text").mapInArrow(lambda b: _posted(b, min_chars, steps), "bucket long, node long")
     postings = cut(postings.repartition(F.col("bucket")).mapInArrow(_shared, "bucket long, node long"), "lines-postings")
 
     def may(a: str, b: str) -> Column:
         # An edit changes the parity of two characters and of four pairs of neighbours at most.
         odd = lambda c: F.bit_count(F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")))
-        return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= edits) & (odd("chars") <= 2 * edits) & (odd("pairs") <= 4 * edits)
+        most = F.lit(0)
+        for least, e in steps:
+            most = F.when(F.least(f"{a}n", f"{b}n") >= least, e).otherwise(most)
+        return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= most) & (odd("chars") <= 2 * most) & (odd("pairs") <= 4 * most)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "lines-wanted")
@@ -247,7 +276,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
         texts = rows.select("text").mapInArrow(lambda b: _texts(b, min_chars, marks), "node long, text string")
         texts = cut(texts.join(ids, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "lines-texts")
         side = lambda p: texts.select(F.col("node").alias(p), F.col("text").alias(f"{p}_text"))
-        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _checked(b, edits), "a long, b long")
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _checked(b, steps), "a long, b long")
 
     comp = linked(postings, lines.select("node", "n", "chars", "pairs"), may, verify)
     of = cut(lines.join(comp, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "lines-classed")
@@ -257,7 +286,7 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHA
     return again.select("doc_id", "line", F.col("class_first.doc_id").alias("first_doc_id"), F.col("class_first.line").alias("first_line")).distinct()
 
 
-def drop_repeated_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs (its columns) without the lines of `repeated_lines`; n_chars, where docs has it, follows the text.
 
     A document that loses lines and has no word left is dropped: all it said stands in an earlier one."""

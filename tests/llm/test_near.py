@@ -138,6 +138,31 @@ def test_repeated_lines_by_brute_force(spark):
     assert line_dedup.repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_take_part_with_fewer_edits(spark):
+    rng = random.Random(10)
+    alphabet = "abcdefgh 12é😀\uf600"
+    bases = ["".join(rng.choice(alphabet) for _ in range(n)).strip() or "x" for n in (1, 1, 2, 5, 9, 12, 18, 19, 20, 21, 24, 38, 39, 40, 41, 44)] + ["😀", "\uf600"]
+    rows = []
+    for d in range(50):
+        lines = []
+        for _ in range(6):
+            x = list(rng.choice(bases))
+            for _ in range(rng.randrange(0, 3)):
+                at = rng.randrange(len(x) + 1)
+                x[at : at + rng.randrange(2)] = rng.choice(["", "z", "a"])
+            lines.append("".join(x))
+        rows.append((d, "\n".join(lines)))
+    want_edits = lambda a, b: min(2, min(len(a), len(b)) // 20)
+    found = sorted((d, i, x) for d, t in rows for i, line in enumerate(t.split("\n")) if (x := line.strip(" \t\r\x0b\x0c")))
+    texts = sorted({x for _, _, x in found})
+    links = [(a, b) for a in texts for b in texts if a < b and abs(len(a) - len(b)) <= want_edits(a, b) and distance(a, b) <= want_edits(a, b)]
+    comp, first = least_of(texts, links), {}
+    for d, i, x in found:
+        first.setdefault(comp[x], (d, i))
+    got = {tuple(r) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert links and got == {(d, i, *first[comp[x]]) for d, i, x in found if first[comp[x]] != (d, i)}
+
+
 def test_dropping_lines_follows_the_found_ones(spark):
     rows = line_rows(random.Random(9))
     docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars long")
