@@ -10,8 +10,9 @@ pair: short lines are alike only where they are equal, which their hash tells.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, cut, in_bitmap
-from .components import linked
+from .components import LARGE, linked
 from .minhash import mixed
 
 #: Edits within which lines are alike: (characters of the shorter line, edits from there on), one in 20 characters at most.
@@ -33,6 +34,8 @@ _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 #: Characters of texts whose substring hashes are held at once, and lines of which a task remembers that it has posted them.
 CHUNK, REMEMBERED = 1_000_000, 1_000_000
+#: Parts into which the lines of large buckets are cut, and those of buckets that are large after that.
+WINDOWS = (6, 16)
 
 
 def banded_distance(a: str, b: str, limit: int) -> int:
@@ -189,7 +192,7 @@ def _met(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Recor
             )
 
 
-def _posted(batches: Iterator[pa.RecordBatch], min_chars: int, steps: tuple[tuple[int, int], ...]) -> Iterator[pa.RecordBatch]:
+def _posted(batches: Iterator[pa.RecordBatch], min_chars: int, steps: tuple[tuple[int, int], ...], marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     seen = np.empty(0, np.uint64)
     for b in batches:
         for _, texts in chunks(b.column(0)):
@@ -200,25 +203,58 @@ def _posted(batches: Iterator[pa.RecordBatch], min_chars: int, steps: tuple[tupl
             at = at[seen[np.minimum(place, len(seen) - 1)] != x.h[at]] if len(seen) else at
             seen = np.sort(np.concatenate([seen if len(seen) < REMEMBERED else seen[:0], x.h[at]]))
             for k, which in keys(x, at, steps):
+                if marks is not None:
+                    some = in_bitmap(marks, k)
+                    k, which = k[some], which[some]
                 yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(x.h[which].view(np.int64))], ["bucket", "node"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's postings those whose bucket holds two lines or more, each once."""
-    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not got:
-        return
-    bucket, node = (np.concatenate(x) for x in zip(*got, strict=True))
-    order = np.lexsort((node, bucket))
-    bucket, node = bucket[order], node[order]
-    new = np.ones(len(bucket), bool)
-    new[1:] = (bucket[1:] != bucket[:-1]) | (node[1:] != node[:-1])
-    bucket, node = bucket[new], node[new]
-    same = bucket[1:] == bucket[:-1]
-    keep = np.zeros(len(bucket), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[keep]), pa.array(node[keep])], ["bucket", "node"])
+def _shared(posted: Callable[[np.ndarray | None], DataFrame], name: str) -> DataFrame:
+    """Of postings (bucket, node) those whose bucket holds two nodes or more, each once.
+
+    posted makes them, of given marks only those whose bucket may be marked. Buckets are found by
+    a combinable min and max; the postings of the others are not kept, but made anew for these."""
+    held = cut(posted(None).groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket"), f"{name}-held")
+    marks = bitmap(held, "bucket", 24)
+    return cut(posted(marks).join(held, "bucket", "left_semi").distinct(), name)
+
+
+def windows(lines: Lines, which: np.ndarray, steps: tuple[tuple[int, int], ...], parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, number of the line) as `keys`, of all the text outside as many of the parts as there are edits.
+
+    Edits change so many parts of the shorter line at most; the text before, between and behind
+    them is in both lines, moved by what the edits before it added or took away."""
+    for edits in sorted({e for _, e in steps} - {0}):
+        for less in range(edits + 1):
+            some = which[allowed(lines.n[which] - less, steps) == edits]
+            n, start = lines.n[some], lines.start[some]
+            size = n - less
+            cuts = [segment(size, i, parts - 1) for i in range(parts)]
+            moves = [m for m in product(range(-edits, edits + 1), repeat=edits) if sum(map(abs, m)) <= edits and sum(m) == less]
+            for number, changed in enumerate(combinations(range(parts), edits)):
+                for m in moves:
+                    key = mixed(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(number * 64 + parts))
+                    at, moved, fits = np.zeros_like(n), 0, np.ones(len(n), bool)
+                    for i, add in (*zip(changed, m, strict=True), (None, 0)):
+                        end = n if i is None else cuts[i][0] + moved
+                        fits &= (0 <= at) & (at <= end) & (end <= n)
+                        a, z = np.where(fits, at, 0), np.where(fits, end, 0)
+                        key = mixed(key * np.uint64(31) + lines.part(start + a, z - a))
+                        if i is not None:
+                            moved += add
+                            at = cuts[i][0] + cuts[i][1] + moved
+                    yield key[fits], some[fits]
+
+
+def _windowed(batches: Iterator[pa.RecordBatch], steps: tuple[tuple[int, int], ...], parts: int, marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for _, texts in chunks(b.column(0)):
+            x = Lines(texts, 1)
+            for k, which in windows(x, np.arange(len(x.n)), steps, parts):
+                if marks is not None:
+                    some = in_bitmap(marks, k)
+                    k, which = k[some], which[some]
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(x.h[which].view(np.int64))], ["bucket", "node"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch], min_chars: int, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -246,9 +282,9 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
     as EDITS has them, by the shorter line); a class is what links connect, its first line the one of the least (doc_id, line); all others are returned.
 
     Equal lines are one node from the start (a combinable min). Only (hash, hash) postings are
-    shuffled, once for each distinct line of an Arrow batch; a key held by very many lines goes
-    through `components.linked`, so it makes no pairs inside a class. Texts of lines are read
-    again for candidates alone.
+    shuffled, once for each distinct line of a task; a key held by very many lines goes through
+    `components.linked`, so it makes no pairs inside a class, and those of different classes are
+    dealt anew by all their text but a few windows. Texts of lines are read again for candidates alone.
 
     Null texts, or texts without such lines, have none; rows without doc_id are left out; rows that
     repeat a doc_id are one document (a line of the same number is the same line); an empty table
@@ -259,8 +295,7 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
     met = cut(rows.mapInArrow(lambda b: _met(b, min_chars), "doc_id long, line long, node long, n long, chars long, pairs long"), "lines-met")
     same = ["node", "n", "chars", "pairs"]
     lines = cut(met.groupBy(*same).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")), "lines-distinct")
-    postings = rows.select("text").mapInArrow(lambda b: _posted(b, min_chars, steps), "bucket long, node long")
-    postings = cut(postings.repartition(F.col("bucket")).mapInArrow(_shared, "bucket long, node long"), "lines-postings")
+    postings = _shared(lambda marks: rows.select("text").mapInArrow(lambda b: _posted(b, min_chars, steps, marks), "bucket long, node long"), "lines-postings")
 
     def may(a: str, b: str) -> Column:
         # An edit changes the parity of two characters and of four pairs of neighbours at most.
@@ -270,15 +305,29 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
             most = F.when(F.least(f"{a}n", f"{b}n") >= least, e).otherwise(most)
         return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= most) & (odd("chars") <= 2 * most) & (odd("pairs") <= 4 * most)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "lines-wanted")
+    def texts_of(ids: DataFrame) -> DataFrame:
         marks = bitmap(ids, "node", 22)
         texts = rows.select("text").mapInArrow(lambda b: _texts(b, min_chars, marks), "node long, text string")
-        texts = cut(texts.join(ids, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "lines-texts")
+        return cut(texts.join(ids, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "lines-texts")
+
+    def finer(nodes: DataFrame) -> DataFrame:
+        texts, dealt = texts_of(cut(nodes.select("node").distinct(), "lines-large")), None
+        for parts in WINDOWS:
+            found = _shared(lambda marks: texts.select("text").mapInArrow(lambda b: _windowed(b, steps, parts, marks), "bucket long, node long"), "lines-windows")  # noqa: B023
+            large = cut(found.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > LARGE).select("bucket"), "lines-large")
+            if parts == WINDOWS[-1] or large.isEmpty():
+                return found if dealt is None else dealt.union(found)
+            small = found.join(large, "bucket", "left_anti")
+            dealt = small if dealt is None else dealt.union(small)
+            texts = cut(texts.join(found.join(large, "bucket", "left_semi").select("node").distinct(), "node", "left_semi"), "lines-texts")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        ids = cut(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "lines-wanted")
+        texts = texts_of(ids)
         side = lambda p: texts.select(F.col("node").alias(p), F.col("text").alias(f"{p}_text"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _checked(b, steps), "a long, b long")
 
-    comp = linked(postings, lines.select("node", "n", "chars", "pairs"), may, verify)
+    comp = linked(postings, lines.select("node", "n", "chars", "pairs"), may, verify, finer)
     of = cut(lines.join(comp, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "lines-classed")
     firsts = cut(of.groupBy("class").agg(F.min("first").alias("class_first"), F.sum("times").alias("all")).filter("all > 1"), "lines-firsts")
     known = cut(of.join(firsts, "class").select(*same, "class_first"), "lines-known")

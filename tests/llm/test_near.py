@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from keyloom.llm import components, decontaminate, line_dedup, minhash
@@ -163,6 +164,52 @@ def test_short_lines_take_part_with_fewer_edits(spark):
     assert links and got == {(d, i, *first[comp[x]]) for d, i, x in found if first[comp[x]] != (d, i)}
 
 
+def test_large_buckets_are_dealt_anew_without_loss(spark, monkeypatch):
+    rng = random.Random(11)
+    start = "2024-01-01 INFO the same first words of a log line "
+    base = [start + "".join(rng.choice("abcdefgh") for _ in range(30)) for _ in range(260)]
+    near = []
+    for x in base[:150]:
+        y = list(x)
+        for _ in range(rng.randrange(1, 3)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.randrange(2)] = rng.choice(["", "z", "y"])
+        near.append("".join(y))
+    rows = [(i, x) for i, x in enumerate(base + near)]
+    seen = []
+
+    def spied(postings, facts, may, verify, finer=None):
+        held = components.linked(postings, facts, may, verify, finer)
+        largest = lambda p: p.groupBy("bucket").count().agg({"count": "max"}).first()[0]
+        seen.append((largest(postings), largest(finer(facts))))
+        return held
+
+    monkeypatch.setattr(line_dedup, "linked", spied)
+    got = {tuple(r) for r in line_dedup.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = sorted({x for _, x in rows})
+    comp = least_of(texts, [(a, b) for i, a in enumerate(texts) for b in texts[i + 1 :] if line_dedup.banded_distance(a, b, 2) <= 2])
+    first = {}
+    for i, x in rows:
+        first.setdefault(comp[x], i)
+    assert got == {(i, 0, first[comp[x]], 0) for i, x in rows if first[comp[x]] != i} and len(got) >= 100
+    assert seen[0][0] > components.LARGE > 2 * seen[0][1]
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_windows_meet_for_all_lines_within_the_edits(edits):
+    rng = random.Random(edits)
+    for parts in line_dedup.WINDOWS:
+        for _ in range(25):
+            a = "".join(rng.choice("ab") for _ in range(rng.randrange(20, 30)))
+            y = list(a)
+            for _ in range(edits):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "c"])
+            lines = line_dedup.Lines([a, "".join(y)], 1)
+            sides = ({int(k) for some, _ in line_dedup.windows(lines, np.array([i]), line_dedup.steps_of(edits), parts) for k in some} for i in range(2))
+            assert set.intersection(*sides)
+
+
 def test_dropping_lines_follows_the_found_ones(spark):
     rows = line_rows(random.Random(9))
     docs = spark.createDataFrame([(d, t, len(t or "")) for d, t in rows], "doc_id long, text string, n_chars long")
