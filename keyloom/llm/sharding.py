@@ -36,13 +36,14 @@ def assign(docs: DataFrame, shards: int, key: str = "text", vnodes: int = VNODES
     size: UTF-8 bytes of the key column (null: none) plus 8. A row's place on the ring is the
     hash of its key value, so equal texts are neighbours; each goes to the next virtual node.
     A shard is full at (1 + slack) times the mean load; what overflows continues clockwise to
-    the next virtual node of a shard with room. Hence no shard gets more than that bound and one cell.
+    the next virtual node of a shard with room. Hence no shard gets more than that bound and one row.
 
-    Rows are placed by cells (SLOTS x PARTS at most, whatever the table's size): one
-    combinable aggregate finds the cells' sizes; the rounds of overflow (one shard or more
-    fills in each, so fewer rounds than shards) run on that table; the cells' shards, of
-    bounded number, are broadcast to the rows. PARTS splits a text that many rows share.
-    slot numbers a shard's rows without gap from 0: its cells' offsets plus the rank in the cell.
+    Rows are placed by cells (SLOTS x PARTS): one combinable aggregate finds the cells' sizes; the
+    rounds of overflow (one shard or more fills in each, so fewer rounds than shards) run on that
+    table; the cells' shards are broadcast to the rows. A cell over slack / 2 of a mean load is
+    placed by its rows of equal size, of which a shard takes as many as it has room for (a range of
+    ranks); so copies of one text are split anywhere, whatever their ids. PARTS spreads their ranking.
+    slot numbers a shard's rows without gap from 0: its ranges' offsets plus the rank in the range.
 
     Null texts count as empty, null ids are a value; repeated rows are each placed; an empty
     table gives an empty one.
@@ -53,15 +54,22 @@ def assign(docs: DataFrame, shards: int, key: str = "text", vnodes: int = VNODES
         "size": (F.octet_length(text) + 8).cast("long"), "__slot": F.pmod(F.xxhash64(text), F.lit(SLOTS)).cast("int"),
         "__part": F.pmod(F.xxhash64(F.lit(7), F.coalesce("doc_id", F.lit(-1))), F.lit(PARTS)).cast("int"),
     })
-    cells = cut(rows.groupBy("__slot", "__part").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-cells")
+    sizes = cut(rows.groupBy("__slot", "__part", "size").agg(F.count("*").alias("n")), "shard-sizes")
+    total = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)).alias("b")).first().b
+    # Units: rows of equal size in a heavy cell, a light cell as a whole. What ends a shard's filling is one of them.
+    bound, heavy = total / shards * (1 + slack / 2), total / shards * slack / 2
+    cell = W.partitionBy("__slot", "__part")
+    below = F.coalesce(F.sum("n").over(cell.orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.withColumn("whole", F.sum(F.col("n") * F.col("size")).over(cell)).withColumn("from", below)
+    whole = sizes.filter(F.col("whole") <= heavy).groupBy("__slot", "__part").agg(F.lit(0).cast("long").alias("from"), F.min("whole").alias("unit"), F.lit(1).cast("long").alias("units"), F.sum("n").alias("each"))
+    split = sizes.filter(F.col("whole") > heavy).select("__slot", "__part", "from", F.col("size").alias("unit"), F.col("n").alias("units"), F.lit(1).cast("long").alias("each"))
+    cells = cut(split.union(whole), "shard-cells")
     nodes = cut(ring(spark, shards, vnodes).coalesce(1), "shard-ring")
     first = nodes.groupBy("at").agg(F.min("idx").alias("idx"))
     slots = spark.range(SLOTS).select(F.col("id").cast("int").alias("__slot")).join(F.broadcast(first), F.col("__slot") == F.col("at"), "left")
     after = F.first("idx", ignorenulls=True).over(W.orderBy("__slot").rowsBetween(0, W.unboundedFollowing))
     slots = slots.select("__slot", F.coalesce(after, F.lit(0)).alias("idx"))
     waiting = cells.join(F.broadcast(slots), "__slot").withColumn("hop", F.lit(0))
-    total = cells.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("b")).first().b
-    bound = total / shards * (1 + slack)
     loads: dict[int, int] = {}
     full: list[int] = []
     placed = None
@@ -69,23 +77,29 @@ def assign(docs: DataFrame, shards: int, key: str = "text", vnodes: int = VNODES
         to = open_from(nodes, full)
         had = spark.createDataFrame([(s, loads.get(s, 0)) for s in range(shards)], "shard int, had long")
         asked = waiting.join(F.broadcast(to), "idx").drop("idx").withColumnRenamed("to", "idx").join(F.broadcast(had), "shard")
-        # Large cells first: what ends a shard's filling is then small.
-        before = F.coalesce(F.sum("bytes").over(W.partitionBy("shard").orderBy(F.desc("bytes"), "__slot", "__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        asked = cut(asked.withColumn("taken", F.col("had") + before < bound).drop("had").withColumn("hop", F.lit(hop)), "shard-round")
-        won = asked.filter("taken")
+        # Large units first: what ends a shard's filling is then small.
+        order = W.partitionBy("shard").orderBy(F.desc("unit"), "__slot", "__part", "from").rowsBetween(W.unboundedPreceding, -1)
+        before = F.coalesce(F.sum(F.col("unit") * F.col("units")).over(order), F.lit(0))
+        room = F.ceil((F.lit(bound) - F.col("had") - before) / F.col("unit"))
+        asked = asked.withColumn("taken", F.least("units", F.greatest(room, F.lit(0)))).drop("had").withColumn("hop", F.lit(hop))
+        asked = cut(asked, "shard-round")
+        won = asked.filter("taken > 0").withColumn("n", F.col("taken") * F.col("each")).withColumn("bytes", F.col("taken") * F.col("unit"))
         placed = won if placed is None else placed.unionByName(won)
         for r in won.groupBy("shard").agg(F.sum("bytes").alias("b")).collect():
             loads[r.shard] = loads.get(r.shard, 0) + r.b
-        shut = [r.shard for r in asked.filter("not taken").select("shard").distinct().collect()]
+        shut = [r.shard for r in asked.filter("taken < units").select("shard").distinct().collect()]
         if not shut:
             break
         full = sorted({*full, *shut})
-        waiting = asked.filter("not taken").select("__slot", "__part", "bytes", "n", "idx", "hop")
-    start = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("__slot", "__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    where = placed.select("__slot", "__part", "shard", "hop", start.alias("start"))
+        moved = (F.col("from") + F.col("taken") * F.col("each")).alias("from")
+        waiting = asked.filter("taken < units").select("__slot", "__part", moved, "unit", (F.col("units") - F.col("taken")).alias("units"), "each", "idx", "hop")
+    start = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("__slot", "__part", "from").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    where = placed.select("__slot", "__part", "shard", "hop", start.alias("start"), F.col("from").alias("__from"), (F.col("from") + F.col("n")).alias("__to"))
     order = [c for c in ("doc_id", "text_crc32") if c in rows.columns]
-    rank = F.row_number().over(W.partitionBy("__slot", "__part").orderBy(*order, "size")) - 1
+    rank = F.row_number().over(W.partitionBy("__slot", "__part").orderBy("size", *order)) - 1
+    where = where.withColumnsRenamed({"__slot": "__s", "__part": "__p"})
+    inside = (F.col("__slot") == F.col("__s")) & (F.col("__part") == F.col("__p")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
     return (
-        rows.withColumn("__rank", rank).join(F.broadcast(where), ["__slot", "__part"])
-        .withColumn("slot", F.col("start") + F.col("__rank")).drop("__slot", "__part", "__rank", "start", "hop")
+        rows.withColumn("__rank", rank).join(F.broadcast(where), inside)
+        .withColumn("slot", F.col("start") + F.col("__rank") - F.col("__from")).drop("__slot", "__part", "__rank", "__s", "__p", "__from", "__to", "start", "hop")
     )

@@ -100,6 +100,18 @@ def test_shards_are_balanced_whole_and_gapless(spark):
     assert sharding.assign(docs.limit(0), 8).count() == 0
 
 
+def test_copies_of_one_text_are_split_at_the_bound(spark):
+    rows = [(i, f"text {i} " * (i % 50)) for i in range(1500)] + [(None if i % 2 else 7, "hot copy " * 20) for i in range(3000)]
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), 12).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter(rows)
+    loads, slots = Counter(), {}
+    for r in got:
+        loads[r.shard] += r["size"]
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(loads.values()) <= sum(loads.values()) / 12 * 1.001 + max(r["size"] for r in got)
+
+
 def test_shard_query_keeps_the_law_of_bytes(spark):
     got = queries.QUERIES["op6_sharding"](spark, DATA).collect()
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
