@@ -1,4 +1,4 @@
-"""Shared helpers: table reading, lineage cuts in the shared folder, fixed-size bitmaps."""
+"""Shared helpers: table reading, lineage cuts in the shared folder, membership filters."""
 
 from __future__ import annotations
 
@@ -6,11 +6,14 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WAVES = 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Bits of a bitmap for each value in it, and the least and most bits that one has (as powers of two; the most is 16 MB).
+BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 27
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,16 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back.
 
     Cuts the lineage, so a lost executor costs one re-read, and gives joins a plain scan on
     this side, so that adaptive execution can split a hot key (it can't below an aggregate).
-    At most WAVES tasks a core write: a small table in very many partitions would cost a file for each.
+    scan: df comes straight from a table and keeps its tasks. What comes from a shuffle is
+    written by at most WAVES tasks a core: a small table in very many partitions would cost a file for each.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(WAVES * spark.sparkContext.defaultParallelism).write.parquet(path)
+    out = df if scan else df.coalesce(WAVES * spark.sparkContext.defaultParallelism)
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,19 +54,21 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
-def bitmap(df: DataFrame, column: str, bits: int = 20) -> np.ndarray:
+def bitmap(df: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
     """A bitmap of 2**bits bits with bit (value mod 2**bits) set for each value of a long column.
 
-    Its size is fixed, so it may be shipped with a task whatever the table's size; it only
-    saves work (no value of df is ever missed), an equality join still decides.
+    Without bits, their number follows the number of rows up to MOST_BITS, so its size is bounded and it
+    may be shipped with a task whatever the table's size; it only saves work (no value of df is
+    ever missed), an equality join still decides.
     """
+    if bits is None:
+        bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * df.count()).bit_length()))
     at = F.pmod(F.col(column), F.lit(1 << bits))
     word = F.shiftright(at, 5).cast("int")
     mark = F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 32L) as int))")
-    rows = df.filter(F.col(column).isNotNull()).groupBy(word.alias("w")).agg(F.bit_or(mark).alias("b")).collect()
+    held = df.filter(F.col(column).isNotNull()).groupBy(word.alias("w")).agg(F.bit_or(mark).alias("b")).toArrow()
     out = np.zeros(1 << (bits - 5), np.uint32)
-    for r in rows:
-        out[r.w] = r.b & 0xFFFFFFFF
+    out[held.column("w").to_numpy()] = held.column("b").to_numpy() & 0xFFFFFFFF
     return out
 
 
@@ -70,6 +77,36 @@ def in_bitmap(marks: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (marks[(at >> np.uint64(5)).astype(np.int64)] >> (at & np.uint64(31)).astype(np.uint32)) & np.uint32(1) != 0
 
 
+def may_hold(keys: DataFrame, column: str):
+    """A function of a long column: false where its value is certainly not among keys (false for null).
+
+    Only the tested column goes to the Python workers, never the rows' texts."""
+    spark = keys.sparkSession
+    marks = spark.sparkContext.broadcast(bitmap(keys, column))
+
+    @F.arrow_udf("boolean")
+    def held(value: pa.Array) -> pa.Array:
+        known = value.is_valid().to_numpy(zero_copy_only=False)
+        return pa.array(in_bitmap(marks.value, value.fill_null(0).to_numpy()) & known)
+
+    return held
+
+
+def row_key(*columns: str) -> Column:
+    """A 64-bit hash that tells rows apart by these columns."""
+    return F.xxhash64(*(c for column in columns for c in (F.col(column).isNull(), F.col(column))))
+
+
+def without(rows: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
+    """rows whose `row_key` of columns is not in gone (__key long).
+
+    Most rows never move: a bitmap of the keys tells those that can't be in gone, only the others are joined."""
+    keyed = rows.withColumn("__key", row_key(*columns))
+    held = may_hold(gone, "__key")
+    some = keyed.filter(held("__key")).join(gone.hint("merge"), "__key", "left_anti")
+    return keyed.filter(~held("__key")).unionByName(some).drop("__key")
+
+
 class Words(dict):
     """Word (bytes) to 64-bit hash, remembered up to a bound."""
 

@@ -3,7 +3,8 @@
 The random walk of a window of words w copies the current word at each step and moves on where a
 random bit of (step, word) says so. Windows at a small edit distance soon walk in step, so their
 walks differ in few places: edit distance becomes Hamming distance. A key is a sample of places
-of a walk; WALKS x SAMPLES keys reach the target recall. Candidates are verified by the exact
+of a walk; windows are as long as the items, and the number of walks and samples follows their
+length, so that the recall doesn't fall with it. Candidates are verified by the exact
 edit distance (in words) of the item to the part of the text that fits it best.
 """
 
@@ -16,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bitmap, cut, in_bitmap
+from .common import Words, bitmap, cut, in_bitmap, row_key, without
 from .minhash import mixed
 
 #: Edits (insertions, deletions, replacements of words) per word of an item within which it counts as held.
 MAX_EDITS = 0.2
-#: Keys of a window: so many walks, so many samples of each, of so many places.
-WALKS, SAMPLES, PLACES = 4, 8, 3
+#: Walks of a window.
+WALKS = 8
+#: Sizes of windows follow each other in this ratio, so a window covers ten elevenths of an item at least.
+RATIO = 1.1
+#: Keys of windows that are made at once.
+KEYS = 2_000_000
 #: Characters of a batch of texts that are worked on at once.
 CHUNK = 2_000_000
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
@@ -34,36 +39,44 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def window_of(n: int) -> int:
-    """Words of the windows that items of n words are sought by: n, from 8 on the next lower half power of two."""
+    """Words of the windows that items of n words are sought by: n, from 8 on the next lower one of sizes that grow by RATIO."""
     if n < 8:
         return n
     at = 8
-    while (more := round(at * 2**0.5)) <= n:
+    while (more := max(at + 1, round(at * RATIO))) <= n:
         at = more
     return at
 
 
+def sampling(size: int) -> tuple[int, int]:
+    """(samples of each walk, places of a sample) for windows of `size` words.
+
+    The longer a window with a fifth of its words edited, the less often its walk agrees with the item's
+    (0.7 of the places at 8 words, 0.2 at 250, 0.15 at 500): longer ones take fewer places and more samples."""
+    return 8 * max(1, round(size / 128)), 3 if size <= 32 else 2
+
+
 def allowed(n: int, max_edits: float) -> int:
     return int(n * max_edits)
 
 
 def walk_keys(tokens: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """The keys (len(starts) x WALKS * SAMPLES) of the windows of `size` tokens at starts; tokens goes on for `size` beyond the last start."""
-    out = np.empty((len(starts), WALKS * SAMPLES), np.uint64)
+    """The keys (a row for each of starts, WALKS times the samples) of the windows of `size` tokens at starts; tokens goes on for `size` beyond the last start."""
+    samples, places = sampling(size)
+    out = np.empty((len(starts), WALKS * samples), np.uint64)
     for w in range(WALKS):
         rng = np.random.default_rng([w, size])
-        steps = max(PLACES, (3 * size) // 2)  # after these, 3/4 of the window on average
-        places = np.stack([rng.choice(steps, PLACES, replace=False) for _ in range(SAMPLES)])
+        steps = max(places, (3 * size) // 2)  # after these, 3/4 of the window on average
+        taken = np.stack([rng.choice(steps, places, replace=False) for _ in range(samples)])
         salt = rng.integers(0, 2**63, steps, np.uint64)
-        keys = np.full((len(starts), SAMPLES), np.uint64(size * WALKS + w))
+        keys = np.full((len(starts), samples), np.uint64(size * WALKS + w))
         at = np.zeros(len(starts), np.int64)
         for j in range(steps):
             now = np.where(at < size, tokens[np.minimum(starts + at, len(tokens) - 1)], np.uint64(0))
-            for s, row in enumerate(places):
-                if j in row:
-                    keys[:, s] = mixed(keys[:, s] * np.uint64(0x9E3779B97F4A7C15) + now)
+            for s in np.flatnonzero((taken == j).any(1)):
+                keys[:, s] = mixed(keys[:, s] * np.uint64(0x9E3779B97F4A7C15) + now)
             at += (mixed(now ^ salt[j]) >> np.uint64(63)).astype(np.int64)
-        out[:, w * SAMPLES : (w + 1) * SAMPLES] = mixed(keys + np.arange(SAMPLES, dtype=np.uint64))
+        out[:, w * samples : (w + 1) * samples] = mixed(keys + np.arange(samples, dtype=np.uint64))
     return out
 
 
@@ -115,18 +128,19 @@ def _candidates(batches: Iterator[pa.RecordBatch], windows: dict[int, tuple[int,
     cache = Words()
     most = max(windows)
 
-    def chunk(ids: list, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
+    def chunk(ids: list, own: list, texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
         gap = np.zeros(most, np.uint64)
         tokens = np.concatenate([x for t in texts for x in (cache.hashes(t), gap)])
         firsts = np.cumsum([0, *(len(t) + most for t in texts)])
-        known = np.concatenate([[0], np.cumsum(in_bitmap(vocabulary[0], tokens) & (tokens != 0))])
-        paired = np.concatenate([[0], np.cumsum(in_bitmap(vocabulary[1], neighbours(tokens)))])
+        known = np.concatenate([np.zeros(1, np.int32), np.cumsum(in_bitmap(vocabulary[0], tokens) & (tokens != 0), dtype=np.int32)])
+        paired = np.concatenate([np.zeros(1, np.int32), np.cumsum(in_bitmap(vocabulary[1], neighbours(tokens)), dtype=np.int32)])
         for size, (edits, longest) in windows.items():
             n = len(tokens) - size + 1
             # An edit changes one word and two pairs of neighbours at most.
             starts = np.flatnonzero((known[size : size + n] - known[:n] >= max(1, size - edits)) & (paired[size - 1 : size - 1 + n] - paired[:n] >= size - 1 - 2 * edits))
-            for at in range(0, len(starts), 200_000):
-                part = starts[at : at + 200_000]
+            step = KEYS // (WALKS * sampling(size)[0])
+            for at in range(0, len(starts), step):
+                part = starts[at : at + step]
                 k = walk_keys(tokens, part, size)
                 row, col = np.nonzero(in_bitmap(marks[0], k) & in_bitmap(marks[1], k >> np.uint64(32)))
                 if not len(row):
@@ -138,19 +152,19 @@ def _candidates(batches: Iterator[pa.RecordBatch], windows: dict[int, tuple[int,
                 first = np.unique(np.stack([col, begin, doc, k[row, col].view(np.int64)]), axis=1, return_index=True)[1]
                 row, col, doc, begin = row[first], col[first], doc[first], begin[first]
                 cuts = [b" ".join(texts[d][b : b + longest + 3 * edits + grid]).decode("utf-8", "replace") for d, b in zip(doc, begin, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(k[row, col].view(np.int64)), pa.array([ids[d] for d in doc], pa.int64()), pa.array(begin), pa.array(cuts, pa.string())], ["key", "doc_id", "at", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array(k[row, col].view(np.int64)), pa.array([ids[d] for d in doc], pa.int64()), pa.array([own[d] for d in doc], pa.int64()), pa.array(begin), pa.array(cuts, pa.string())], ["key", "doc_id", "row", "at", "part"])
 
     for b in batches:
-        ids, texts, size = [], [], 0
-        for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+        ids, own, texts, size = [], [], [], 0
+        for i, r, t in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), b.column("text"), strict=True):
             words = words_of(t.as_py())
-            ids.append(i), texts.append(words)
+            ids.append(i), own.append(r), texts.append(words)
             size += len(words) * 6
             if size > CHUNK:
-                yield from chunk(ids, texts)
-                ids, texts, size = [], [], 0
+                yield from chunk(ids, own, texts)
+                ids, own, texts, size = [], [], [], 0
         if ids:
-            yield from chunk(ids, texts)
+            yield from chunk(ids, own, texts)
 
 
 def _verified(batches: Iterator[pa.RecordBatch], max_edits: float) -> Iterator[pa.RecordBatch]:
@@ -162,7 +176,7 @@ def _verified(batches: Iterator[pa.RecordBatch], max_edits: float) -> Iterator[p
             near.append(d if d <= allowed(len(words), max_edits) else None)
             ends.append(end)
         at = pa.array(np.array(ends, np.int64) + b.column("at").to_numpy())
-        out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("item_id"), pa.array(near, pa.int64()), at], ["doc_id", "item_id", "edits", "end_word"])
+        out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), b.column("item_id"), pa.array(near, pa.int64()), at], ["doc_id", "row", "item_id", "edits", "end_word"])
         yield out.filter(out.column("edits").is_valid())
 
 
@@ -173,14 +187,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
     Every place of every text is a window. A window is walked only where enough of its words and
     pairs of neighbouring words occur in the benchmark at all: with e edits allowed, all but e
     words and all but 2 e pairs must, so nothing is lost. For that, and to send on only windows
-    whose key some item has, tasks hold bitmaps of fixed size (of the benchmark's words, pairs and
-    the two halves of keys), whatever the size of the benchmark; the keys then meet by an ordinary
+    whose key some item has, tasks hold bitmaps (of the benchmark's words, pairs and the two halves of keys) whose
+    size follows their number up to a bound; the keys then meet by an ordinary
     equi-join, and words are compared exactly in the end.
 
     Null or wordless texts and items hold nothing and are held by nothing. Rows that repeat a
     doc_id are one document; null doc_ids are kept as one too. Equal items are all reported. Empty tables give an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    found = _found(docs, benchmark, max_edits, text)
+    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "end_word")).alias("m")).select("doc_id", "item_id", "m.edits", "m.end_word")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, max_edits: float, text: str) -> DataFrame:
+    """(doc_id, row, item_id, edits, end_word) of all verified windows; row is the document's row_key."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", text).alias("row"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     keys = cut(items.mapInArrow(_item_keys, "key long, item_id long, item string"), "leak-keys")
     lengths = [r.n for r in keys.select(F.size(F.split("item", " ")).alias("n")).distinct().collect()]
@@ -188,19 +208,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_E
     windows: dict[int, tuple[int, int]] = {}
     for n in sorted(lengths):
         windows[window_of(n)] = (allowed(n, max_edits), n)
-    schema = "doc_id long, item_id long, edits long, end_word long"
+    schema = "doc_id long, row long, item_id long, edits long, end_word long"
     if not windows:
         return docs.sparkSession.createDataFrame([], schema)
     said = cut(items.mapInArrow(_vocabulary, "of int, word long"), "leak-words")
-    vocabulary = bitmap(said.filter("of = 0"), "word", 20), bitmap(said.filter("of = 1"), "word", 22)
-    marks = bitmap(keys, "key", 22), bitmap(keys.select(F.shiftright("key", 32).alias("key")), "key", 22)
-    found = rows.mapInArrow(lambda b: _candidates(b, windows, vocabulary, marks), "key long, doc_id long, at long, part string")
-    pairs = cut(found.join(keys, "key").select("doc_id", "item_id", "at", "part", "item").distinct(), "leak-candidates")
-    checked = pairs.mapInArrow(lambda b: _verified(b, max_edits), schema)
-    return checked.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "end_word")).alias("m")).select("doc_id", "item_id", "m.edits", "m.end_word")
+    vocabulary = bitmap(said.filter("of = 0"), "word"), bitmap(said.filter("of = 1"), "word")
+    marks = bitmap(keys, "key"), bitmap(keys.select(F.shiftright("key", 32).alias("key")), "key")
+    found = rows.mapInArrow(lambda b: _candidates(b, windows, vocabulary, marks), "key long, doc_id long, row long, at long, part string")
+    pairs = cut(found.join(keys, "key").select("doc_id", "row", "item_id", "at", "part", "item").distinct(), "leak-candidates")
+    return pairs.mapInArrow(lambda b: _verified(b, max_edits), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS) -> DataFrame:
-    """docs (its columns) without the documents that hold an item."""
-    bad = cut(contaminated(docs, benchmark, max_edits).select(F.col("doc_id").alias("__bad")).distinct(), "leak-documents")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs (its columns) without the rows whose text holds an item, told apart by doc_id and text; only rows that may go are shuffled."""
+    bad = cut(_found(docs, benchmark, max_edits, "text").select(F.col("row").alias("__key")).distinct(), "leak-documents")
+    return without(docs, bad, "doc_id", "text")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, in_bitmap
+from .common import bitmap, cut, in_bitmap, may_hold, row_key
 from .components import LARGE, linked
 from .minhash import mixed
 
@@ -187,8 +187,8 @@ def _met(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Recor
         for first, texts in chunks(b.column(1)):
             x = Lines(texts, min_chars)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(x.rows + first)), pa.array(x.at), pa.array(x.h.view(np.int64)), pa.array(x.n), pa.array(x.profile(False)), pa.array(x.profile(True))],
-                ["doc_id", "line", "node", "n", "chars", "pairs"],
+                [*(b.column(c).take(pa.array(x.rows + first)) for c in ("doc_id", "key")), pa.array(x.at), pa.array(x.h.view(np.int64)), pa.array(x.n), pa.array(x.profile(False)), pa.array(x.profile(True))],
+                ["doc_id", "key", "line", "node", "n", "chars", "pairs"],
             )
 
 
@@ -281,20 +281,26 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
     min_chars characters or more take part. Lines within `edits` edits are linked (a number, or steps
     as EDITS has them, by the shorter line); a class is what links connect, its first line the one of the least (doc_id, line); all others are returned.
 
-    Equal lines are one node from the start (a combinable min). Only (hash, hash) postings are
-    shuffled, once for each distinct line of a task; a key held by very many lines goes through
-    `components.linked`, so it makes no pairs inside a class, and those of different classes are
-    dealt anew by all their text but a few windows. Texts of lines are read again for candidates alone.
+    Equal lines are one node from the start (a combinable min; equal in a 64-bit hash, the length and two
+    profiles of 64 bits). Only (hash, hash) postings are shuffled, once for each distinct line of a
+    task; a key held by very many lines goes through `components.linked`, so it makes no pairs inside
+    a class, and those of different classes are dealt anew by all their text but a few windows. Texts
+    of lines are read again for candidates alone.
 
     Null texts, or texts without such lines, have none; rows without doc_id are left out; rows that
-    repeat a doc_id are one document (a line of the same number is the same line); an empty table
-    gives an empty one.
+    repeat a doc_id with another text are each judged by their own lines, rows that repeat both are one document;
+    an empty table gives an empty one.
     """
+    return _repeated(docs, edits, min_chars, text).drop("key")
+
+
+def _repeated(docs: DataFrame, edits: int | tuple[tuple[int, int], ...], min_chars: int, text: str) -> DataFrame:
+    """As `repeated_lines`, with the row_key (key) of the row that the line is in."""
     steps = steps_of(edits)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).filter("doc_id is not null")
-    met = cut(rows.mapInArrow(lambda b: _met(b, min_chars), "doc_id long, line long, node long, n long, chars long, pairs long"), "lines-met")
-    same = ["node", "n", "chars", "pairs"]
-    lines = cut(met.groupBy(*same).agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("times")), "lines-distinct")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_key("doc_id", text).alias("key")).filter("doc_id is not null")
+    met = cut(rows.select("doc_id", "text", "key").mapInArrow(lambda b: _met(b, min_chars), "doc_id long, key long, line long, node long, n long, chars long, pairs long"), "lines-met", scan=True)
+    same, place = ["node", "n", "chars", "pairs"], ["doc_id", "line", "key"]
+    lines = cut(met.groupBy(*same).agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("times")), "lines-distinct")
     postings = _shared(lambda marks: rows.select("text").mapInArrow(lambda b: _posted(b, min_chars, steps, marks), "bucket long, node long"), "lines-postings")
 
     def may(a: str, b: str) -> Column:
@@ -306,7 +312,7 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
         return (F.abs(F.col(f"{a}n") - F.col(f"{b}n")) <= most) & (odd("chars") <= 2 * most) & (odd("pairs") <= 4 * most)
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        marks = bitmap(ids, "node", 22)
+        marks = bitmap(ids, "node")
         texts = rows.select("text").mapInArrow(lambda b: _texts(b, min_chars, marks), "node long, text string")
         return cut(texts.join(ids, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "lines-texts")
 
@@ -331,21 +337,24 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
     of = cut(lines.join(comp, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "lines-classed")
     firsts = cut(of.groupBy("class").agg(F.min("first").alias("class_first"), F.sum("times").alias("all")).filter("all > 1"), "lines-firsts")
     known = cut(of.join(firsts, "class").select(*same, "class_first"), "lines-known")
-    again = met.join(known, same).filter(F.struct("doc_id", "line") != F.col("class_first"))
-    return again.select("doc_id", "line", F.col("class_first.doc_id").alias("first_doc_id"), F.col("class_first.line").alias("first_line")).distinct()
+    again = met.join(known, same).filter(F.struct(*place) != F.col("class_first"))
+    return again.select("doc_id", "line", F.col("class_first.doc_id").alias("first_doc_id"), F.col("class_first.line").alias("first_line"), "key").distinct()
 
 
 def drop_repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs (its columns) without the lines of `repeated_lines`; n_chars, where docs has it, follows the text.
 
-    A document that loses lines and has no word left is dropped: all it said stands in an earlier one."""
-    again = cut(repeated_lines(docs, edits, min_chars), "lines-again")
-    lost = again.groupBy("doc_id").agg(F.collect_list(F.col("line").cast("int")).alias("__lost"))
-    joined = docs.join(lost.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
+    A document that loses lines and has no word left is dropped: all it said stands in an earlier one.
+    Rows without such lines stay where they are; only those that lose some are joined with them."""
+    again = _repeated(docs, edits, min_chars, "text")
+    lost = cut(again.groupBy("key").agg(F.collect_list(F.col("line").cast("int")).alias("__lost")).withColumnRenamed("key", "__key"), "lines-lost")
+    held = may_hold(lost, "__key")
+    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
+    joined = keyed.filter(held("__key")).join(lost.hint("merge"), "__key", "left")
     lines = F.split("text", "\n")
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lost")), lambda i: F.get("__lines", i))
     out = joined.withColumn("__lines", F.when(F.col("__lost").isNotNull(), lines)).withColumn("__left", F.when(F.col("__lost").isNotNull(), F.array_join(left, "\n")))
     out = out.filter(F.col("__left").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.coalesce("__left", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__lost").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    return keyed.filter(~held("__key")).select(docs.columns).unionByName(out.select(docs.columns))

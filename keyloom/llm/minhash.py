@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut
+from .common import Words, cut, may_hold, row_key, without
 from .components import linked
 
 #: A pair of Jaccard similarity 0.8 has fewer than AGREE collisions in POSTED coordinates, or than MATCHES in
@@ -79,7 +79,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
 
     words = Words()
     for b in batches:
-        ids, texts = b.column(0), b.column(1)
+        ids, keys, texts = b.column("doc_id"), b.column("key"), b.column("text")
         n, prints, sigs, odd = [], [], [], []
         for t in texts:
             s = shingles(t.as_py(), words, width)
@@ -90,8 +90,8 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         flat = np.array(sigs, np.int32).reshape(len(n), COORDINATES)
         sketch = np.array(odd, np.int64).reshape(len(n), ODD)
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(ODD)), *(pa.array(np.ascontiguousarray(flat[:, i])) for i in range(COORDINATES))],
-            ["doc_id", "n_shingles", "print", *(f"o{i}" for i in range(ODD)), *(f"s{i}" for i in range(COORDINATES))],
+            [ids, keys, pa.array(n, pa.int64()), pa.array(prints, pa.binary()), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(ODD)), *(pa.array(np.ascontiguousarray(flat[:, i])) for i in range(COORDINATES))],
+            ["doc_id", "key", "n_shingles", "print", *(f"o{i}" for i in range(ODD)), *(f"s{i}" for i in range(COORDINATES))],
         )
 
 
@@ -127,12 +127,37 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, te
     Null doc_ids are linked with nothing (component_id null, kept true); rows that repeat a doc_id
     are judged each by its own text, equal ones alike; an empty table gives an empty one. Other columns don't matter.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    fields = ", ".join(["doc_id long", "n_shingles long", "print binary", *(f"o{i} long" for i in range(ODD)), *(f"s{i} int" for i in range(COORDINATES))])
-    sigs = cut(rows.mapInArrow(lambda b: _signed(b, width), fields), "minhash-signatures")
+    out = _judged(docs, percent, width, text)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least.doc_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:
+    """docs (its columns) with one row of each group of `near_duplicates`, the one of the least doc_id.
+
+    Rows are told apart by doc_id and text: of rows equal in both one stays, a row that repeats a doc_id with another
+    text is judged by that text. Rows without a doc_id or without words stay. Only rows that may go are shuffled."""
+    out = cut(_judged(docs, percent, width, "text").filter("least is not null").select("key", (F.struct("doc_id", "key") == F.col("least")).alias("stays")), "minhash-judged")
+    gone = cut(out.filter("not stays").select(F.col("key").alias("__key")).distinct(), "minhash-gone")
+    again = cut(out.filter("stays").groupBy(F.col("key").alias("__key")).agg(F.count("*").alias("n")).filter("n > 1").select("__key"), "minhash-again")
+    left = without(docs, gone, "doc_id", "text")
+    if again.isEmpty():
+        return left
+    held = may_hold(again, "__key")
+    keyed = left.withColumn("__key", row_key("doc_id", "text"))
+    some = keyed.filter(held("__key")).join(again.withColumn("__twice", F.lit(True)).hint("merge"), "__key", "left")
+    once = some.filter("__twice").dropDuplicates(["__key"]).unionByName(some.filter("__twice is null"))
+    return keyed.filter(~held("__key")).select(docs.columns).unionByName(once.select(docs.columns))
+
+
+def _judged(docs: DataFrame, percent: int, width: int, text: str) -> DataFrame:
+    """For each row of docs: doc_id, key (its row_key), n_shingles, least: the least (doc_id, key) reachable, null where it links with nothing."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", text).alias("key"), F.col(text).cast("string").alias("text"))
+    fields = ", ".join(["doc_id long", "key long", "n_shingles long", "print binary", *(f"o{i} long" for i in range(ODD)), *(f"s{i} int" for i in range(COORDINATES))])
+    sigs = cut(rows.mapInArrow(lambda b: _signed(b, width), fields), "minhash-signatures", scan=True)
     owned = sigs.filter("print is not null and doc_id is not null")
-    reps = cut(owned.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("n_shingles").alias("n_shingles"), *(F.min(f"o{i}").alias(f"o{i}") for i in range(ODD)), *(F.min(f"s{i}").alias(f"s{i}") for i in range(COORDINATES))), "minhash-classes")
-    facts = reps.drop("print")
+    reps = cut(owned.groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("n_shingles").alias("n_shingles"), *(F.min(f"o{i}").alias(f"o{i}") for i in range(ODD)), *(F.min(f"s{i}").alias(f"s{i}") for i in range(COORDINATES))).withColumn("node", F.xxhash64("print")), "minhash-classes")
+    facts = reps.drop("print", "first")
     item = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col(f"s{i}")) for i in range(POSTED)))).alias("bucket")
     items = reps.select("node", item)
     counted = cut(items.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-items")
@@ -142,14 +167,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGLE, te
     postings = cut(held.filter(room > 0).select("node", F.explode(F.slice("i", F.lit(1), room)).alias("i")).select("i.bucket", "node").distinct(), "minhash-postings")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "minhash-wanted")
-        texts = cut(rows.filter("doc_id is not null").join(ids, "doc_id", "left_semi"), "minhash-texts")
-        side = lambda p: texts.select(F.col("doc_id").alias(p), F.col("text").alias(f"{p}_text"))
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        ids = cut(reps.select("node", "first.key").join(wanted, "node", "left_semi"), "minhash-wanted")
+        some = may_hold(ids, "key")
+        texts = cut(rows.select("key", "text").filter(some("key")).join(ids, "key").dropDuplicates(["node"]).select("node", "text"), "minhash-texts")
+        side = lambda p: texts.select(F.col("node").alias(p), F.col("text").alias(f"{p}_text"))
         full = pairs.join(side("a"), "a").join(side("b"), "b").sortWithinPartitions("a")
         return full.mapInArrow(lambda b: _checked(b, percent, width), "a long, b long").distinct()
 
     comp = linked(postings, facts, lambda a, b: _agree(a, b, percent), verify, _banded)
-    classes = cut(reps.select("print", "node").join(comp, "node", "left").select("print", F.coalesce("component", "node").alias("component_id")), "minhash-result")
-    out = sigs.select("doc_id", "n_shingles", "print").join(classes, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    grouped = cut(reps.select("print", "node", "first").join(comp, "node", "left").select("print", "first", F.coalesce("component", "node").alias("component")), "minhash-components")
+    least = cut(grouped.groupBy("component").agg(F.min("first").alias("least")), "minhash-least")
+    classes = cut(grouped.join(least, "component").select("print", "least"), "minhash-result")
+    out = sigs.select("doc_id", "key", "n_shingles", "print").join(classes, "print", "left")
+    return out.withColumn("least", F.when(F.col("doc_id").isNotNull(), F.col("least"))).drop("print")
