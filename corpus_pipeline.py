@@ -9,11 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from keyloom.llm import decontaminate, line_dedup, minhash, packing, quality
-from keyloom.llm.common import cut, read_table, shared_dir
+from keyloom.llm.common import read_table, shared_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,17 +25,8 @@ def line_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the least doc_id; of rows that repeat a doc_id one."""
-    kept = cut(minhash.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__id")).distinct(), "pipeline-kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    ids = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("__id"))
-    ids = cut(ids, "pipeline-repeated")
-    if ids.isEmpty():
-        return out.select(docs.columns)
-    repeated = F.col("doc_id") == F.col("__id")
-    least = W.partitionBy("doc_id").orderBy("text")
-    some = out.join(ids, repeated, "left_semi").withColumn("__n", F.row_number().over(least)).filter("__n = 1").select(docs.columns)
-    return out.join(ids, repeated, "left_anti").select(docs.columns).unionByName(some)
+    """One document of each group of near copies stays, the one of the least doc_id; of rows equal in doc_id and text one."""
+    return minhash.drop_near_duplicates(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
