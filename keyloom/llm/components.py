@@ -54,12 +54,12 @@ def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Colu
     first = cut(verify(pairs), "links-star")
     comp = cut(components(first), "links-components")
     tagged = cut(postings.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "links-tagged")
-    sizes = cut(tagged.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).filter("lo < hi"), "links-mixed")
+    sizes = _mixed(tagged)
     if finer:
         large = cut(tagged.join(sizes.filter(F.col("size") > LARGE).select("bucket"), "bucket").select("node", "c").distinct(), "links-large")
         dealt = finer(large.join(facts, "node")).join(large, "node")
         some = cut(dealt.select("bucket", "node", "c").union(tagged.join(sizes.filter(F.col("size") <= LARGE).select("bucket"), "bucket").select("bucket", "node", "c")), "links-dealt")
-        sizes = cut(some.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi"), "links-mixed")
+        sizes = _mixed(some)
         tagged = some
     left = cut(tagged.join(sizes.select("bucket"), "bucket").join(facts, "node"), "links-left")
     one, two = (left.select(*(F.col(c).alias(f"{p}_{c}") for c in left.columns)) for p in "ab")
@@ -71,6 +71,16 @@ def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Colu
     return cut(components(first.select("a", "b").union(more.select("a", "b"))), "links-components")
 
 
+def _mixed(tagged: DataFrame) -> DataFrame:
+    """The buckets (bucket, size) whose nodes are of two components (c) or more; of buckets that hold the same nodes one.
+
+    Copies of one text share nearly all their buckets, so a pair would be compared in each of them.
+    Sets of nodes are told apart by their size and 128 bits of hashes."""
+    print_ = [F.bit_xor(F.xxhash64(F.lit(i), "node")).alias(f"x{i}") for i in range(2)]
+    held = tagged.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), *print_).filter("lo < hi")
+    return cut(held.groupBy("x0", "x1", "size").agg(F.min("bucket").alias("bucket")).select("bucket", "size"), "links-mixed")
+
+
 def _possible(pairs: DataFrame, facts: DataFrame, may: Callable[[str, str], Column]) -> DataFrame:
     side = lambda p, k: facts.select(F.col("node").alias(k), *(F.col(c).alias(f"{p}_{c}") for c in facts.columns if c != "node"))
     return cut(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").filter(may("a_", "b_")).select("a", "b"), "links-possible")

@@ -33,7 +33,7 @@ _PLANE = np.uint64(0xA0761D6478BD642E)
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
 #: Characters of texts whose substring hashes are held at once, and lines of which a task remembers that it has posted them.
-CHUNK, REMEMBERED = 1_000_000, 1_000_000
+CHUNK, REMEMBERED = 1_000_000, 300_000
 #: Parts into which the lines of large buckets are cut, and those of buckets that are large after that.
 WINDOWS = (6, 16)
 
@@ -131,13 +131,16 @@ class Lines:
         self.n = np.array([len(x) for x in found], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.n)[:-1]]).astype(np.int64) if found else self.n
         self.codes = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars = self.chars()
+        self.chars = self._chars()
         with np.errstate(over="ignore"):
-            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(chars * powers(_BASE, len(chars))[:-1], dtype=np.uint64)])
-            self.back = powers(_BACK, len(chars))
+            self.sums = np.concatenate([[np.uint64(0)], np.cumsum(self.chars * powers(_BASE, len(self.chars))[:-1], dtype=np.uint64)])
+            self.back = powers(_BACK, len(self.chars))
         self.h = mixed(self.part(self.start, self.n) + self.n.astype(np.uint64)) if found else np.empty(0, np.uint64)
 
-    def chars(self) -> np.ndarray:
+    def _chars(self) -> np.ndarray:
+        """A number for each character: by its place in its plane, and its plane."""
+        if self.codes.max(initial=0) < len(_CHAR):
+            return _CHAR[self.codes]
         return _CHAR[self.codes & np.uint32(0xFFFF)] + (self.codes >> np.uint32(16)).astype(np.uint64) * _PLANE
 
     def part(self, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -147,7 +150,7 @@ class Lines:
         """For each line a bit for each class of its characters (or pairs of neighbours): set where their number is odd."""
         if not len(self.n):
             return np.empty(0, np.int64)
-        c = self.chars()
+        c = self.chars
         if pairs:
             c = mixed(c * np.uint64(31) + np.concatenate([c[1:], c[:1]]))
             c[self.start + self.n - 1] = 0
@@ -193,15 +196,17 @@ def _met(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Recor
 
 
 def _posted(batches: Iterator[pa.RecordBatch], min_chars: int, steps: tuple[tuple[int, int], ...], marks: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-    seen = np.empty(0, np.uint64)
+    seen: set[int] = set()
     for b in batches:
         for _, texts in chunks(b.column(0)):
             x = Lines(texts, min_chars)
             at = np.unique(x.h, return_index=True)[1]
             at = at[allowed(x.n[at], steps) > 0]
-            place = np.searchsorted(seen, x.h[at])
-            at = at[seen[np.minimum(place, len(seen) - 1)] != x.h[at]] if len(seen) else at
-            seen = np.sort(np.concatenate([seen if len(seen) < REMEMBERED else seen[:0], x.h[at]]))
+            found = x.h[at].tolist()
+            at = at[np.fromiter((h not in seen for h in found), bool, len(found))]
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(found)
             for k, which in keys(x, at, steps):
                 if marks is not None:
                     some = in_bitmap(marks, k)
