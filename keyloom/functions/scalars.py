@@ -42,3 +42,38 @@ def bytes_hash(s: Column) -> Column:
     wrap = F.lit(str(2**64)).cast("decimal(38,0)")
     total = F.aggregate(signed, F.lit(0).cast("decimal(38,0)"), lambda h, c: F.pmod(h * F.lit(31).cast("decimal(3,0)") + c, wrap).cast("decimal(38,0)"))
     return F.when(total >= F.lit(str(2**63)).cast("decimal(38,0)"), total - wrap).otherwise(total).cast("long")
+
+
+def char_at(s: Column, at: int) -> Column:
+    """The character at a place (from 0); empty beyond the end."""
+    return F.substring(s, at + 1, 1)
+
+
+def is_digit(s: Column) -> Column:
+    """Whether a text is one ASCII digit."""
+    return s.rlike("^[0-9]$")
+
+
+def is_space_char(s: Column) -> Column:
+    """Whether a text is one ASCII white-space character."""
+    return s.rlike(r"^[ \t\n\x0B\f\r]$")
+
+
+def derived_key(value: Column, offset: int, size: int) -> Column:
+    """The unsigned big-endian number of `size` bytes (7 at most) of a binary value, at an offset; null where the value ends before."""
+    held = F.substring(value, offset + 1, size)
+    return F.when(F.octet_length(held) == size, F.conv(F.hex(held), 16, 10).cast("long"))
+
+
+def bytes_extend(value: Column, size: int) -> Column:
+    """A binary value filled with zero bytes up to a size; longer ones stay."""
+    return F.when(F.octet_length(value) >= size, value).otherwise(F.rpad(value, size, F.lit(bytearray(b"\0"))))
+
+
+def crc32_msb(value: Column) -> Column:
+    """CRC-32 with the most significant bit first (polynomial 0x04C11DB7, all ones at first, inverted at the end).
+
+    It is the usual one of the bytes with their bits in reverse order, in reverse order itself."""
+    nibbles = F.translate(F.hex(value), "0123456789ABCDEF", "084C2A6E195D3B7F")
+    mirrored = F.crc32(F.unhex(F.regexp_replace(nibbles, "(.)(.)", "$2$1")))
+    return F.conv(F.reverse(F.lpad(F.bin(mirrored), 32, "0")), 2, 10).cast("long")

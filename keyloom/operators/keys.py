@@ -45,3 +45,20 @@ def conditional(store: DataFrame, key: str, accept: Column, stop: Column | None
         bound = out.filter(stop).agg(F.min(key).alias("__stop"))
         out = out.crossJoin(F.broadcast(bound)).filter(F.col("__stop").isNull() | (F.col(key) < F.col("__stop"))).drop("__stop")  # one row
     return out.filter(accept)
+
+
+def start_key(store: DataFrame, key: str, option: str, probe=None) -> DataFrame:
+    """One row (start): the key at which a cursor begins by a read option; null where there is none."""
+    k = F.col(key)
+    fits = {"exact": k == F.lit(probe), "next": k > F.lit(probe), "exact_or_next": k >= F.lit(probe), "previous": k < F.lit(probe), "exact_or_previous": k <= F.lit(probe)}
+    if option in ("first", "last"):
+        return store.agg((F.min(key) if option == "first" else F.max(key)).alias("start"))
+    found = store.filter(fits[option])
+    return found.agg((F.max(key) if "previous" in option else F.min(key)).alias("start"))
+
+
+def cursor(store: DataFrame, key: str, option: str, probe=None, descending: bool = False) -> DataFrame:
+    """The rows that a cursor placed by a read option passes, in either direction; none where its start isn't found."""
+    start = start_key(store, key, option, probe)
+    beyond = F.col(key) <= F.col("start") if descending else F.col(key) >= F.col("start")
+    return store.join(F.broadcast(start), beyond).drop("start")  # one row

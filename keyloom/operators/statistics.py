@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranges import numbered
+
 
 def cardinality(store: DataFrame, parts: list[str]) -> DataFrame:
     """(part, entries): entries whose first key part that differs from the predecessor's is this one.
 
     With D_p distinct prefixes of p parts this is D_(p+1) - D_p; duplicates of a whole key count nowhere."""
-    distinct = store.select(parts).distinct().agg(*(F.count_distinct(F.struct(*parts[: p + 1])).alias(f"d{p}") for p in range(len(parts))))
-    rows = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), (F.col(f"d{p}") - (F.col(f"d{p - 1}") if p else 0)).alias("entries")) for p in range(len(parts)))))
-    return distinct.select(rows.alias("r")).select("r.*")
+    held = store.select(parts).distinct()
+    for n in range(len(parts) - 1, -1, -1):
+        # To prefixes of n parts: how many of n + 1 parts there are (d<n>), and sums of what longer ones counted.
+        sums = [F.count("*").alias(f"d{n}"), *(F.sum(f"d{m}").alias(f"d{m}") for m in range(n + 1, len(parts)))]
+        held = (held.groupBy(*parts[:n]) if n else held).agg(*sums)
+    of = lambda p: F.coalesce(F.col(f"d{p}"), F.lit(0))
+    rows = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), (of(p) - (of(p - 1) if p else 0)).alias("entries")) for p in range(len(parts)))))
+    return held.select(rows.alias("r")).select("r.*")
 
 
 def segments(store: DataFrame, key: str, size: int) -> DataFrame:
@@ -28,3 +35,18 @@ def range_estimate(zones: DataFrame, low, high) -> DataFrame:
 
 def top_per_group(df: DataFrame, group: str, order: list, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def split_segments(store: DataFrame, key: str, most: int = 1500) -> DataFrame:
+    """The segments of a store in key order, split at `most` keys each: (seg, first_key, last_key, n)."""
+    placed = numbered(store.select(key), key).withColumn("seg", F.floor((F.col("pos") - 1) / most))
+    return placed.groupBy("seg").agg(F.min(key).alias("first_key"), F.max(key).alias("last_key"), F.count("*").alias("n"))
+
+
+def merged_segments(zones: DataFrame, most: int = 1500) -> DataFrame:
+    """Neighbouring small segments as one: those that begin within the same `most` entries, in key order.
+
+    zones has a row a segment (first_key, last_key, n); what lies before each is summed up over these."""
+    before = F.sum("n").over(W.orderBy("first_key").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    placed = zones.withColumn("seg", F.floor(before / most))
+    return placed.groupBy("seg").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.sum("n").alias("n"), F.count("*").alias("merged"))

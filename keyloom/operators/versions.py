@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .neighbour import neighbour
+from .ranges import numbered
+
 OPEN = 2**63 - 1
 
 
@@ -42,8 +45,35 @@ def vacuum(versions: DataFrame, oldest_view: int) -> DataFrame:
     return versions.filter((F.col("hi") >= oldest_view) & (F.col("lo") <= F.col("hi")))
 
 
-def write_conflicts(writes: DataFrame, key: str, tx: str, begin: str, end: str) -> DataFrame:
-    """Pairs of transactions that wrote one key while both were open: an equi-join on the key."""
-    a = writes.select(F.col(key), F.col(tx).alias("tx_a"), F.col(begin).alias("__ab"), F.col(end).alias("__ae")).distinct()
-    b = writes.select(F.col(key), F.col(tx).alias("tx_b"), F.col(begin).alias("__bb"), F.col(end).alias("__be")).distinct()
-    return a.join(b, key).filter((F.col("tx_a") < F.col("tx_b")) & (F.col("__ab") <= F.col("__be")) & (F.col("__bb") <= F.col("__ae"))).select(key, "tx_a", "tx_b")
+def newest_valid(checkpoints: DataFrame, index: str, viewpoint: str, valid: str) -> DataFrame:
+    """Of each index the newest checkpoint that is valid (not aborted): (index, viewpoint)."""
+    return checkpoints.filter(F.col(valid)).groupBy(index).agg(F.max(viewpoint).alias(viewpoint))
+
+
+def begin_views(spans: DataFrame, tx: str, begin: str, end: str) -> DataFrame:
+    """(tx, view_vp) of transactions (tx, begin, end): the viewpoint of each is the number of commits before it began."""
+    commits = numbered(spans.select(F.col(end).alias("at")), "at").select("at", "pos")
+    commits = commits.groupBy("at").agg(F.max("pos").alias("pos"))
+    asked = spans.select(tx, F.col(begin).alias("__at"))
+    return neighbour(asked, commits, "__at", "at", "previous", ("pos",)).select(tx, F.coalesce("pos", F.lit(0).cast("bigint")).alias("view_vp"))
+
+
+def serializable(log: DataFrame, key: str, seq: str, deleted: str, committed: str, viewpoint: int, commit: str) -> DataFrame:
+    """What a transaction of the viewpoint reads as the last committed row of each key, with valid: whether no
+    later commit has changed the row since, so that the transaction may commit."""
+    seen = latest(log.filter(committed), key, seq).filter(~F.col(deleted))
+    return seen.withColumn("valid", F.col(commit) <= viewpoint)
+
+
+def write_conflicts(writes: DataFrame, key: str, tx: str, begin: str, end: str, span: int = 64) -> DataFrame:
+    """Pairs of transactions that wrote one key while both were open.
+
+    Each is posted under the key and the spans of time that it was open in; a pair counts in the span in which the
+    later one began, so a key written very often makes pairs of neighbours in time only."""
+    open_ = writes.select(key, tx, F.col(begin).alias("b"), F.col(end).alias("e")).distinct()
+    spans = F.explode(F.sequence(F.floor(F.col("b") / span), F.floor(F.col("e") / span))).alias("__span")
+    posted = open_.select(key, tx, "b", "e", spans)
+    a, b = (posted.select(key, "__span", F.col(tx).alias(f"tx_{p}"), F.col("b").alias(f"__b{p}"), F.col("e").alias(f"__e{p}")) for p in "ab")
+    meet = (F.col("tx_a") < F.col("tx_b")) & (F.col("__ba") <= F.col("__eb")) & (F.col("__bb") <= F.col("__ea"))
+    once = F.col("__span") == F.floor(F.greatest("__ba", "__bb") / span)
+    return a.join(b, [key, "__span"]).filter(meet & once).select(key, "tx_a", "tx_b")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import scalars
-from ..operators import keys, neighbour, statistics, versions, writes
+from ..operators import keys, neighbour, ranges, statistics, versions, writes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,21 +65,12 @@ def log(t) -> DataFrame:
 
 @query("select o_orderkey, o_totalprice, row_number() over (order by o_orderkey) as pos from orders")
 def walk_forward(t):
-    return _numbered(keys.walk(t("orders"), keys.KeySpec(("o_orderkey",))), "o_orderkey", False)
+    return ranges.numbered(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
 
 
 @query("select o_orderkey, o_totalprice, row_number() over (order by o_orderkey desc) as pos from orders")
 def walk_backward(t):
-    return _numbered(keys.walk(t("orders"), keys.KeySpec(("o_orderkey",)), descending=True), "o_orderkey", True)
-
-
-def _numbered(walked: DataFrame, key: str, descending: bool) -> DataFrame:
-    """Positions in a sorted walk, without one task for all rows: offsets of the range partitions, then rows within them."""
-    part = walked.select(key, "o_totalprice", F.spark_partition_id().alias("part"))
-    order = F.col(key).desc() if descending else F.col(key)
-    sizes = part.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    rank = F.row_number().over(W.partitionBy("part").orderBy(order))
-    return part.withColumn("r", rank).join(F.broadcast(sizes), "part").select(key, "o_totalprice", (F.col("r") + F.col("before")).alias("pos"))
+    return ranges.numbered(t("orders").select("o_orderkey", "o_totalprice"), "o_orderkey", descending=True)
 
 
 @query("select o_orderkey from orders")
@@ -139,8 +130,7 @@ for _option, _compare, _pick in (("next", "<", "min"), ("previous", ">", "max"),
 
 @query(f"with {_STORE} select event_id, p, o_orderkey as found, o_totalprice from probe asof left join store on p >= o_orderkey")
 def asof_events(t):
-    found = neighbour.neighbour(probe(t), store(t), "p", "o_orderkey", "exact_or_previous")
-    return found.join(store(t).select("o_orderkey", "o_totalprice"), F.col("found") == F.col("o_orderkey"), "left").drop("o_orderkey")
+    return neighbour.neighbour(probe(t), store(t), "p", "o_orderkey", "exact_or_previous", ("o_totalprice",))
 
 
 @query("select o_custkey, o_orderkey, lead(o_orderkey) over (partition by o_custkey order by o_orderkey) as next_key from orders")
@@ -302,10 +292,10 @@ def recover_partial(t):
 @query("with recursive w(a, b) as (select distinct o_custkey, (o_custkey * 7 + 3) % 1000 from orders), r(s, x, n) as (select a, b, 1 from w union select r.s, w.b, r.n + 1 from r join w on w.a = r.x where r.n < 64) select s as waiter, min(n) as hops from r where s = x group by s")
 def deadlock_cycles(t):
     waits = t("orders").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + 3) % 1000).alias("b")).distinct()
-    waits.createOrReplaceTempView("keyloom_waits")
     return waits.sparkSession.sql(
-        "with recursive r(s, x, n) as (select a, b, 1 from keyloom_waits union all select r.s, w.b, r.n + 1 from r join keyloom_waits w on w.a = r.x where r.n < 64 and r.s <> r.x) "
-        "select s as waiter, min(n) as hops from r where s = x group by s"
+        "with recursive r(s, x, n) as (select a, b, 1 from {waits} union all select r.s, w.b, r.n + 1 from r join {waits} w on w.a = r.x where r.n < 64 and r.s <> r.x) "
+        "select s as waiter, min(n) as hops from r where s = x group by s",
+        waits=waits,
     )
 
 
@@ -347,9 +337,14 @@ def secondary_as_of(t):
     return versions.as_of(_versions(t), 60).select(F.floor("value").cast("long").alias("sec"), F.col("user_id").alias("pk"))
 
 
-@query("select (select count(*) from orders) = (select count(*) from orders where o_custkey is not null) as consistent")
+@query("""with idx as (select o_custkey as sec, o_orderkey as pk from orders where o_custkey is not null)
+select (select count(*) from orders) as store_size, (select count(*) from idx) as index_size,
+(select count(*) from orders where not exists (select 1 from idx where pk = o_orderkey and sec = o_custkey)) as lost, (select count(*) from idx where not exists (select 1 from orders where pk = o_orderkey and sec = o_custkey)) as stray""")
 def secondary_consistency(t):
-    return t("orders").agg((F.count("*") == F.count("o_custkey")).alias("consistent"))
+    index = build_secondary(t).filter("sec is not null").withColumn("side", F.lit(1))
+    both = t("orders").select(F.col("o_custkey").alias("sec"), F.col("o_orderkey").alias("pk"), F.lit(0).alias("side")).union(index.select("sec", "pk", "side"))
+    met = both.groupBy("pk", "sec").agg(F.count_if(F.col("side") == 0).alias("s"), F.count_if(F.col("side") == 1).alias("i"))
+    return met.agg(F.sum("s").alias("store_size"), F.sum("i").alias("index_size"), F.sum(F.greatest(F.col("s") - F.col("i"), F.lit(0))).alias("lost"), F.sum(F.greatest(F.col("i") - F.col("s"), F.lit(0))).alias("stray"))
 
 
 # Statistics

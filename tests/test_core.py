@@ -5,8 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import scalars
-from keyloom.operators import neighbour, statistics, versions, writes
-from keyloom.plans import queries
+from keyloom.operators import neighbour, ranges, statistics, versions, writes
+from keyloom.plans import extended as queries
 from keyloom.sources import store
 from keyloom.streaming import ingest
 
@@ -35,31 +35,72 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("option", ["next", "previous", "exact_or_next", "exact_or_previous"])
-def test_neighbour_over_many_buckets_and_gaps(spark, option, monkeypatch):
-    monkeypatch.setattr(neighbour, "BUCKET_ROWS", 20)
+def test_neighbour_over_many_buckets_and_gaps(spark, option):
     rng = random.Random(3)
     keys = sorted({rng.choice([rng.randint(0, 100), rng.randint(5000, 5100)]) for _ in range(90)})
-    asked = [rng.randint(-5, 5200) for _ in range(150)] + keys
+    asked = [rng.randint(-5, 5200) for _ in range(150)] + keys + [40] * 300 + [9000] * 50
     pick = {"next": lambda p: min((k for k in keys if k > p), default=None), "previous": lambda p: max((k for k in keys if k < p), default=None), "exact_or_next": lambda p: min((k for k in keys if k >= p), default=None), "exact_or_previous": lambda p: max((k for k in keys if k <= p), default=None)}[option]
-    got = neighbour.neighbour(spark.createDataFrame([(p,) for p in asked], "p long"), spark.createDataFrame([(k,) for k in keys], "k long"), "p", "k", option)
-    assert sorted(got.collect()) == sorted((p, pick(p)) for p in asked) or {(r.p, r.found) for r in got.collect()} == {(p, pick(p)) for p in asked}
-
-
-def test_outcomes_equal_a_sequential_fold(spark):
+    stored = spark.createDataFrame([(k, f"v{k}") for k in keys] + [(None, "null")], "k long, v string")
+    want = sorted((p, pick(p), pick(p) if pick(p) is None else f"v{pick(p)}") for p in asked)
+    for rows in (20, 1000):
+        got = neighbour.neighbour(spark.createDataFrame([(p,) for p in asked] + [(None,)], "p long"), stored, "p", "k", option, ("v",), rows).collect()
+        assert (None, None, None) in [tuple(r) for r in got]
+        assert sorted((tuple(r) for r in got if r.p is not None), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_numbers_don_t_depend_on_the_plan(spark, descending):
+    rng = random.Random(5)
+    keys = rng.sample(range(100_000), 5000)
+    want = {k: i for i, k in enumerate(sorted(keys, reverse=descending), 1)}
+    coalesced = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        for parts in (1, 8, 200):
+            for on in ("true", "false"):
+                spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+                spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", on)
+                got = ranges.numbered(spark.createDataFrame([(k,) for k in keys], "k long"), "k", descending, rows=300).collect()
+                assert {r.k: r.pos for r in got} == want and len(got) == len(keys)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_outcomes_equal_a_sequential_fold(spark, block):
     rng = random.Random(4)
-    log = [(rng.randint(0, 9), i, rng.choice(["STANDARD", "EXISTING", "OVERRIDE", "UNIQUE", "REMOVE"])) for i in range(400)]
-    live, want = set(), {}
-    for k, i, op in log:
-        ok = {"EXISTING": k in live, "REMOVE": k in live, "UNIQUE": k not in live}.get(op, True)
-        want[i] = (ok, 0 if ok else 3 if op == "UNIQUE" else 2)
+    names = ["STANDARD", "EXISTING", "OVERRIDE", "UNIQUE", "RESERVED", "REMOVE"]
+    log = [(rng.choice([0, 0, 0, rng.randint(1, 9)]), i, i // 20, rng.choice(names)) for i in range(400)]
+    live, own, want = set(), set(), {}
+    for k, i, tx, op in log:
+        ok = {"EXISTING": k in live, "REMOVE": k in live, "UNIQUE": k not in live, "RESERVED": (k, tx) not in own}.get(op, True)
+        want[i] = (ok, 0 if ok else 3 if op in ("UNIQUE", "RESERVED") else 2)
         if ok and op == "REMOVE":
-            live.discard(k)
+            live.discard(k), own.discard((k, tx))
         elif ok:
-            live.add(k)
-    got = writes.outcomes(spark.createDataFrame(log, "k long, i long, op string"), "k", "i", "op").collect()
+            live.add(k), own.add((k, tx))
+    got = writes.outcomes(spark.createDataFrame(log, "k long, i long, t long, op string"), "k", "i", "op", "t", block).collect()
     assert {r.i: (r.ok, r.error_code) for r in got} == want
 
 
+def test_unknown_operations_are_errors(spark):
+    for op, tx in (("PUT", None), (None, None), ("RESERVED", None)):
+        with pytest.raises(Exception, match="operation|RESERVED"):
+            writes.outcomes(spark.createDataFrame([(1, 1, op)], "k long, i long, op string"), "k", "i", "op", tx).collect()
+
+
+def test_write_conflicts_of_a_hot_key(spark):
+    rng = random.Random(6)
+    rows = [(0, tx, b := rng.randint(0, 5000), b + rng.randint(0, 150)) for tx in range(150)]
+    got = {(r.tx_a, r.tx_b) for r in versions.write_conflicts(spark.createDataFrame(rows, "k long, tx long, b long, e long"), "k", "tx", "b", "e").collect()}
+    assert got == {(x[1], y[1]) for x in rows for y in rows if x[1] < y[1] and x[2] <= y[3] and y[2] <= x[3]}
+
+
+def test_checksum_of_the_known_text(spark):
+    row = spark.createDataFrame([("123456789",), ("",)], "s string").select(scalars.crc32_msb(F.col("s").cast("binary")).alias("c")).collect()
+    assert [r.c for r in row] == [0xFC891918, 0]
+
+
 def test_isolation_matrix(spark):
     log = spark.createDataFrame([(1, 1, 1, 1, False, True), (1, 2, 2, 2, True, False)], "k long, seq long, vp long, tx long, deleted boolean, committed boolean")
     sees = lambda log, level, **x: versions.visible(log, "k", "seq", "deleted", "committed", level, commit="vp", tx="tx", **x).count() == 1
