@@ -1,10 +1,12 @@
 """Language-model scores from a sharded Elias-Fano n-gram trie.
 
-The model is a bigram with absolute discounting that backs off to add-one unigrams. Word pairs are
-dealt to shards by a hash of their first word, the training pairs and the ones to be scored alike;
-a shard builds its part of the trie and looks its own queries up in it, so no task holds the whole
-model and what is gathered grows with the corpus. Only unseen pairs need another word's unigram
-count; they are joined to the counts in a second step.
+The model interpolates absolute discounting over the orders down to add-one unigrams. Texts are
+taken in chunks; a chunk asks for each of its distinct n-grams once. Contexts (all words but the
+last) are dealt to shards by their hash; a shard builds its part of the trie from all chunks'
+counts and answers each chunk's n-grams by two quantised numbers, from which the chunk's texts are
+scored. So no task holds the whole model, what is gathered grows with the corpus, and a
+frequent n-gram travels once for a chunk. The followers of a context with very many entries are
+dealt to shards of their own, whose totals are added up before.
 """
 
 from __future__ import annotations
@@ -14,18 +16,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, cut
+from .minhash import mixed
 
 DISCOUNT = 0.75
-#: Bytes of text for a shard, and characters of a batch that are worked on at once.
-SHARD_BYTES, CHUNK = 16_000_000, 16_000_000
-#: Levels of a quantised probability.
-LEVELS = 256
-#: Stand for the end of a text, and for "begins a text" in place of a pair's second word.
-END, FIRST = np.uint64(1), np.uint64(2)
+#: Words of the longest n-grams.
+ORDER = 2
+#: Tokens of a chunk, of a shard on average, and of a context from which on its followers are spread over shards.
+CHUNK, SHARD, HOT = 1_000_000, 2_000_000, 2_000_000
+#: Levels of a quantised log10 probability for each unit, and the code of "not known"; down to 10**-15.9.
+STEPS, UNKNOWN = 4096, 0xFFFF
+#: Stands for the end of a text.
+END = np.uint64(1)
+_M = np.uint64(0x9E3779B97F4A7C15)
 _COUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _SELECT = np.full((256, 8), 8, np.uint8)
 for _i in range(256):
@@ -102,198 +110,272 @@ class EliasFano:
         return out
 
 
-def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, code book): each value by the nearest level below it, so no probability is rounded up.
+def quantised(x: np.ndarray) -> np.ndarray:
+    """Codes of log10 probabilities: steps of 1 / STEPS downwards, so no probability is rounded up, whatever the shard or the corpus."""
+    return np.minimum(np.ceil(-x * STEPS - 1e-9), UNKNOWN - 1).astype(np.uint16)
 
-    Half of the levels are quantiles, half even steps, so rare values are near one too."""
-    if not len(x):
-        return np.empty(0, np.uint8), np.zeros(1)
-    some = np.linspace(0, 1, LEVELS // 2)
-    book = np.unique(np.concatenate([np.quantile(x, some, method="lower"), x.min() + some * (x.max() - x.min())]))
-    return (np.searchsorted(book, x, "right") - 1).astype(np.uint8), book
+
+def decoded(code: np.ndarray, unknown: float) -> np.ndarray:
+    """Probabilities of codes; `unknown` where there is none."""
+    return np.where(code == UNKNOWN, unknown, 10 ** (code.astype(np.float64) / -STEPS))
 
 
 class Trie:
-    """First words (sorted hashes), pointers to their followers, followers relative to their context
-    (word number + context number * words, which makes one monotone sequence), and quantised log10
-    probabilities of pairs and back-off weights of contexts."""
-
-    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, contexts: int, words: int) -> None:
-        """Distinct pairs in order of (context, word) with their counts; contexts and words are numbered from 0."""
-        self.words = words
-        self.total = np.bincount(context, count, contexts)
-        kinds = np.bincount(context, minlength=contexts)
-        self.pointers = EliasFano(np.concatenate([[0], np.cumsum(kinds)]).astype(np.uint64), len(word) + 1)
-        self.followers = EliasFano(context.astype(np.uint64) * np.uint64(words) + word.astype(np.uint64), contexts * words + 1)
-        self.code, self.book = quantised(np.log10((count - DISCOUNT) / self.total[context]))
-        seen = self.total > 0
-        back = np.zeros(contexts)
-        back[seen] = np.log10(DISCOUNT * kinds[seen] / self.total[seen])
-        self.back_code, self.back_book = quantised(back)
-
-    def score(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log10 probability where the pair is known, else the context's back-off weight; known)."""
-        begin = self.pointers.access(context.astype(np.int64)).astype(np.int64)
-        end = self.pointers.access(context.astype(np.int64) + 1).astype(np.int64)
-        want = context.astype(np.uint64) * np.uint64(self.words) + word.astype(np.uint64)
+    """One level of a shard: contexts (sorted hashes), pointers to their followers, followers relative to their
+    context (word + context number * 2**32, one monotone sequence), quantised log10 of discounted
+    probabilities of followers and of what contexts leave to the lower order."""
+
+    def __init__(self, context: np.ndarray, word: np.ndarray, count: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> None:
+        """Distinct known n-grams in order of (context number, word of 32 bits) with their counts; total and kinds (distinct followers) of all contexts."""
+        self.pointers = EliasFano(np.concatenate([[0], np.cumsum(np.bincount(context, minlength=len(total)))]).astype(np.uint64), len(word) + 1)
+        self.followers = EliasFano((context.astype(np.uint64) << np.uint64(32)) | word, max(len(total), 1) << 32)
+        self.code = quantised(np.log10((count - DISCOUNT) / total[context]))
+        self.left = np.full(len(total), UNKNOWN, np.uint16)
+        seen = total > 0
+        self.left[seen] = quantised(np.log10(DISCOUNT * kinds[seen] / total[seen]))
+
+    def codes(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The codes of n-grams, UNKNOWN for those that aren't there: successors within the context's followers."""
+        begin = self.pointers.access(context).astype(np.int64)
+        end = self.pointers.access(context + 1).astype(np.int64)
+        want = (context.astype(np.uint64) << np.uint64(32)) | word
         at = self.followers.successor(want, begin, end)
         known = self.followers.holds(at, want, end)
-        out = self.back_book[self.back_code[context]]
-        out[known] = self.book[self.code[at[known]]]
-        return out, known
-
+        out = np.full(len(context), UNKNOWN, np.uint16)
+        out[known] = self.code[at[known]]
+        return out
 
-_PARTS = ("docs", "train", "contexts", "runs", "words", "word", "doc", "times")
 
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned numbers, in as few bytes each as the largest needs, byte plane by plane, compressed."""
+    width = next(k for k in (1, 2, 4, 8) if k == 8 or int(x.max(initial=0)) < 1 << 8 * k)
+    planes = np.ascontiguousarray(x.astype(f"<u{width}")).view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.compress(planes.tobytes(), 1)
 
-def _small(x: np.ndarray) -> bytes:
-    """Numbers in as few bytes each as the largest needs, which the first byte tells."""
-    kind = "u1" if (top := int(x.max(initial=0))) < 256 else "u2" if top < 65536 else "u4"
-    return bytes([int(kind[1])]) + x.astype(f"<{kind}").tobytes()
 
+def unpacked(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(x[1:]), np.uint8).reshape(x[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{x[0]}")[:, 0]
 
-def _large(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<u{x[0]}", offset=1)
 
+def _chunked(batches: Iterator[pa.RecordBatch], fields: pa.Schema, most: int) -> Iterator[pa.RecordBatch]:
+    """(doc_id, learns, text) rows to chunks: their rows' ids, learns and numbers of tokens, the distinct tokens'
+    hashes, times and training times, and the tokens as numbers of these."""
+    cache, number = Words(), 0
 
-def _pairs(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
-    """(uid, train, text) rows to a row for each shard of a chunk of texts: its pairs, counted by document."""
-    cache = Words()
+    def chunk() -> pa.RecordBatch:
+        flat, n = np.concatenate(texts), np.array([len(t) for t in texts])
+        words, at = np.unique(flat, return_inverse=True)
+        learnt = np.repeat(np.array(learns, np.float64), n)
+        row = [(TaskContext.get().partitionId() << 32) + number, ids, learns, n, words.view(np.int64), np.bincount(at), np.bincount(at, learnt).astype(np.int64), packed(at)]
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, fields, strict=True)], schema=fields)
 
-    def chunk(ids: list[int], train: list[bool], texts: list[list[bytes]]) -> Iterator[pa.RecordBatch]:
-        n = np.array([len(t) for t in texts], np.int64)
-        doc = np.repeat(np.arange(len(texts)), n)
-        hashes = np.maximum(cache.hashes([w for t in texts for w in t]), np.uint64(3))
-        names, number = np.unique(hashes, return_inverse=True)
-        follow = np.empty_like(number)
-        follow[:-1] = number[1:] + 2
-        last = np.cumsum(n)[n > 0] - 1
-        follow[last] = 0
-        # A row for each pair and one for each text's first word; 0 and 1 stand for END and FIRST.
-        first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64) if len(last) else last
-        context, word, doc = (np.concatenate(x) for x in ((number, number[first]), (follow, np.ones(len(first), np.int64)), (doc, doc[first])))
-        key = (context.astype(np.uint64) << np.uint64(40)) | (word.astype(np.uint64) << np.uint64(16)) | doc.astype(np.uint64)
-        key, times = np.unique(key, return_counts=True)
-        context = (key >> np.uint64(40)).astype(np.int64)
-        shard = (names % np.uint64(shards)).astype(np.int64)[context]
-        order = np.argsort(shard, kind="stable")
-        key, times, context, shard = key[order], times[order], context[order], shard[order]
-        all_words = np.concatenate([[END, FIRST], names])
-        edges = np.flatnonzero(np.diff(shard, prepend=-1, append=shards))
-        rows: list[list] = [[] for _ in range(len(_PARTS) + 1)]
-        for a, z in zip(edges, edges[1:], strict=False):
-            heads = np.flatnonzero(np.diff(context[a:z], prepend=-1))
-            w, wi = np.unique((key[a:z] >> np.uint64(16)) & np.uint64(0xFFFFFF), return_inverse=True)
-            d, di = np.unique(key[a:z] & np.uint64(0xFFFF), return_inverse=True)
-            made = (
-                np.array(ids, np.int64)[d.astype(np.int64)].tobytes(), np.array(train, np.uint8)[d.astype(np.int64)].tobytes(), names[context[a:z][heads]].tobytes(),
-                _small(np.diff(heads, append=z - a)), all_words[w.astype(np.int64)].tobytes(), _small(wi), _small(di), _small(times[a:z]),
-            )
-            for to, x in zip(rows, (int(shard[a]), *made), strict=True):
-                to.append(x)
-        if rows[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(x, pa.binary()) for x in rows[1:])], ["shard", *_PARTS])
-
-    ids, train, texts, size = [], [], [], 0
+    ids, learns, texts, size = [], [], [], 0
     for b in batches:
-        for uid, learns, t in zip(b.column("uid").to_pylist(), b.column("train").to_pylist(), b.column("text"), strict=True):
+        for i, learn, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
             words = (t.as_py() or "").encode("utf-8", "replace").lower().split()
-            ids.append(uid), train.append(learns), texts.append(words)
-            size += 6 * len(words)
-            if size > CHUNK or len(ids) == 65_000:
-                yield from chunk(ids, train, texts)
-                ids, train, texts, size = [], [], [], 0
+            texts.append(np.append(np.maximum(cache.hashes(words), END + np.uint64(1)), END))
+            ids.append(i), learns.append(bool(learn))
+            size += len(words) + 1
+            if size >= most:
+                yield chunk()
+                ids, learns, texts, size, number = [], [], [], 0, number + 1
     if ids:
-        yield from chunk(ids, train, texts)
-
-
-_RESULT = "kind int, uid long, word long, n long, known long, lower long, ends long, base double, score double"
-
-
-def _scored(table: pa.Table) -> pa.Table:
-    """A shard's rows: kind 0 sums of documents, 1 unseen pairs' second words, 2 training counts of its words."""
-    rows = [[x.as_py() for x in table.column(c)] for c in _PARTS]
-    docs, train, heads, words = (np.concatenate([np.frombuffer(x, k) for x in c]) for c, k in zip((rows[0], rows[1], rows[2], rows[4]), ("<i8", "u1", "<u8", "<u8"), strict=True))
-    names, number = np.unique(heads, return_inverse=True)
-    followers, follow = np.unique(words, return_inverse=True)
-    steps = lambda k, bytes_: np.cumsum([0, *(len(x) // bytes_ for x in rows[k])])[:-1]
-    context = np.repeat(number, np.concatenate([_large(x) for x in rows[3]]))
-    word = follow[np.concatenate([_large(x).astype(np.int64) + s for x, s in zip(rows[5], steps(4, 8), strict=True)])]
-    doc = np.concatenate([_large(x).astype(np.int64) + s for x, s in zip(rows[6], steps(0, 8), strict=True)])
-    times = np.concatenate([_large(x) for x in rows[7]]).astype(np.float64)
-    first = followers[word] == FIRST
-    pair, at = np.unique(context.astype(np.int64) * len(followers) + word, return_inverse=True)
-    count = np.bincount(at, times * (train[doc] == 1), len(pair))
-    of_pair, word_of = pair // len(followers), pair % len(followers)
-    learnt = (count > 0) & (followers[word_of] != FIRST)
-    trie = Trie(of_pair[learnt], word_of[learnt], count[learnt], len(names), len(followers))
-    value, known = trie.score(of_pair, word_of)
-    unigram = np.log10(trie.total + 1)
-    begins = followers[word_of] == FIRST
-    value = np.where(begins, unigram[of_pair], value)[at]
-    lower = (begins | ~known)[at]
-    unseen = ~begins[at] & ~known[at]
-    ends = unseen & (followers[word] == END)
-    docs, same = np.unique(docs, return_inverse=True)
-    doc = same[doc]
-    tokens = np.where(first, 0, times)
-    sums = lambda w: np.bincount(doc, w, len(docs))
-    total = trie.total[context]
-    zero = lambda n: np.zeros(n, np.int64)
-    whole = [
-        np.zeros(len(docs), np.int32), docs, zero(len(docs)), sums(tokens).astype(np.int64), sums(tokens * (total > 0)).astype(np.int64),
-        sums(times * lower).astype(np.int64), sums(times * ends).astype(np.int64), sums(tokens * unigram[context]), sums(times * value),
-    ]
-    out = unseen & ~ends
-    uid, missing = docs[doc[out]], followers[word[out]].view(np.int64)
-    m, k = len(uid), np.flatnonzero(trie.total > 0)
-    parts = [
-        whole,
-        [np.full(m, 1, np.int32), uid, missing, times[out].astype(np.int64), *[zero(m)] * 3, np.zeros(m), np.zeros(m)],
-        [np.full(len(k), 2, np.int32), zero(len(k)), names[k].view(np.int64), trie.total[k].astype(np.int64), *[zero(len(k))] * 3, np.zeros(len(k)), np.zeros(len(k))],
-    ]
-    return pa.table({c.split()[0]: np.concatenate(x) for c, x in zip(_RESULT.split(", "), zip(*parts, strict=True), strict=True)})
-
-
-def score(docs: DataFrame, learns: Column, text: str = "text") -> DataFrame:
+        yield chunk()
+
+
+class Grams:
+    """The distinct n-grams of a chunk, order by order: level k holds those of k words, each by its context's number in level k - 1 and its word."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray) -> None:
+        self.short = (words.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+        self.tokens, self.order = tokens, 1
+        #: For each place of `at` the number of its n-gram in this level, the number's hash, context and word.
+        self.at, self.of, self.hash = np.arange(len(tokens)), tokens, words.view(np.uint64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.begins = np.zeros(len(tokens) + 1, bool)
+        self.begins[self.ends] = True
+        self.context, self.word = np.zeros(len(words), np.int64), np.arange(len(words))
+
+    def next(self) -> None:
+        """The level of one word more; places are those of the n-grams' last words."""
+        later = ~self.begins[self.at + 1]
+        context, at = self.of[later], self.at[later] + 1
+        key, self.of = np.unique(context.astype(np.int64) * len(self.short) + self.tokens[at], return_inverse=True)
+        self.at, self.order = at, self.order + 1
+        self.context, self.word = key // len(self.short), key % len(self.short)
+        self.before = self.hash
+        self.hash = mixed(self.before[self.context] * _M + self.short[self.word])
+
+    def dealt(self, shards: int, hot: np.ndarray, spread: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shard of each n-gram in the order of shards, contexts and words; that order): by the context, for those in hot by the word too."""
+        context = self.before[self.context]
+        shard = (context % np.uint64(shards)).astype(np.int64)
+        if len(hot):
+            some = np.isin(context, hot)
+            shard[some] = shards + (mixed(context[some] + self.short[self.word[some]]) % np.uint64(spread)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        return shard[order], order
+
+
+def _grams(row: dict) -> Grams:
+    return Grams(np.array(row["words"], np.int64), unpacked(row["tokens"]).astype(np.int64), np.array(row["sizes"], np.int64))
+
+
+_ASK = "shard int, chunk long, contexts binary, runs binary, words binary, times binary, learnt binary"
+
+
+def _asked(batches: Iterator[pa.RecordBatch], level: int, shards: int, hot: np.ndarray, spread: int, only_hot: bool) -> Iterator[pa.RecordBatch]:
+    """A row for each shard and chunk: its contexts, the number of n-grams of each, their words, times and training times."""
+    for b in batches:
+        for i in range(b.num_rows):
+            row = b.slice(i, 1).to_pylist()[0]
+            g = _grams(row)
+            learns = np.repeat(np.array(row["learns"], np.float64), np.array(row["sizes"], np.int64))
+            while g.order < level:
+                g.next()
+            times, learnt = np.bincount(g.of, minlength=len(g.word)), np.bincount(g.of, learns[g.at], len(g.word)).astype(np.int64)
+            shard, order = g.dealt(shards, hot, spread)
+            edges = np.flatnonzero(np.diff(shard, prepend=-1, append=shards + spread + 1))
+            rows = []
+            for a, z in zip(edges, edges[1:], strict=False):
+                if only_hot and shard[a] < shards:
+                    continue
+                some = order[a:z]
+                heads = np.flatnonzero(np.diff(g.context[some], prepend=-1))
+                numbers = (g.before[g.context[some[heads]]], np.diff(heads, append=z - a), g.short[g.word[some]], times[some], learnt[some])
+                rows.append((int(shard[a]), row["chunk"], *map(packed, numbers)))
+            for at in range(0, len(rows), 500):
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows[at : at + 500], strict=True), (pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], [c.split()[0] for c in _ASK.split(", ")])
+
+
+class Shard:
+    """The rows of a shard: the chunks' contexts and n-grams one after the other, and the distinct ones with their training counts."""
+
+    def __init__(self, table: pa.Table) -> None:
+        read = lambda c: [unpacked(x.as_py()) for x in table.column(c)]
+        contexts, words = read("contexts"), read("words")
+        self.chunks = table.column("chunk").to_pylist()
+        self.heads, self.sizes = np.array([len(x) for x in contexts]), np.array([len(x) for x in words])
+        self.contexts, self.number = np.unique(np.concatenate(contexts).astype(np.uint64), return_inverse=True)
+        runs = np.concatenate([x.astype(np.int64) for x in read("runs")])
+        key = (np.repeat(self.number, runs).astype(np.uint64) << np.uint64(32)) | np.concatenate(words).astype(np.uint64)
+        self.key, self.of = np.unique(key, return_inverse=True)
+        sums = lambda c: np.bincount(self.of, np.concatenate(read(c)), len(self.key))
+        self.times, self.count = sums("times"), sums("learnt")
+        self.context = (self.key >> np.uint64(32)).astype(np.int64)
+        self.word = self.key & np.uint64(0xFFFFFFFF)
+        self.total = np.bincount(self.context, self.count, len(self.contexts))
+        self.kinds = np.bincount(self.context, self.count > 0, len(self.contexts))
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """(context, total, kinds) of a shard of hot contexts."""
+    s = Shard(table)
+    return pa.table({"context": s.contexts.view(np.int64), "total": s.total.astype(np.int64), "kinds": s.kinds.astype(np.int64)})
+
+
+_ANSWER = "level int, chunk long, shard int, codes binary, left binary, totals binary, hot long"
+
+
+def _answered(table: pa.Table, level: int, hot: dict[int, tuple[int, int]], limit: float) -> pa.Table:
+    """For each of a shard's rows the codes of its n-grams, and of its contexts what they leave and their totals; the
+    n-grams that will be hot contexts in rows of their own (hot)."""
+    s = Shard(table)
+    for i, (total, kinds) in ((i, hot[c]) for i, c in enumerate(s.contexts.tolist()) if c in hot) if hot else ():
+        s.total[i], s.kinds[i] = total, kinds
+    learnt = s.count > 0
+    trie = Trie(s.context[learnt], s.word[learnt], s.count[learnt], s.total, s.kinds)
+    codes, left, total = trie.codes(s.context, s.word)[s.of], trie.left[s.number], s.total[s.number].astype(np.int64)
+    shard = table.column("shard")[0].as_py()
+    rows, a, h = [], 0, 0
+    for chunk, n, m in zip(s.chunks, s.sizes.tolist(), s.heads.tolist(), strict=True):
+        rows.append((level, chunk, shard, packed(codes[a : a + n]), packed(left[h : h + m]), packed(total[h : h + m]) if level == 2 else None, None))
+        a, h = a + n, h + m
+    large = np.flatnonzero(s.times > limit)
+    found = mixed(s.contexts[s.context[large]] * _M + s.word[large]).view(np.int64)
+    rows += [(level, None, None, None, None, None, x) for x in found.tolist()]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 3, pa.int64())
+    return pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _ANSWER.split(", ")])
+
+
+def _scored(chunks: pa.Table, answers: pa.Table, levels: list[tuple[int, np.ndarray, int]], n: int, v: int, ends: int) -> pa.Table:
+    """The rows of a chunk with their sums; levels: (shards, hot contexts, shards of these) of the orders from 2 on."""
+    out = []
+    for i in range(chunks.num_rows):
+        row = chunks.slice(i, 1).to_pylist()[0]
+        g = _grams(row)
+        count = np.zeros(len(g.short), np.int64)
+        count[g.hash == END] = ends
+        p = None
+        held = answers.sort_by([("level", "ascending"), ("shard", "ascending")])
+        for level, dealt in enumerate(levels, 2):
+            g.next()
+            _, order = g.dealt(*dealt)
+            mine = held.filter(pa.compute.equal(held.column("level"), level))
+            read = lambda c: np.concatenate([np.empty(0, np.int64), *(unpacked(x.as_py()) for x in mine.column(c))])  # noqa: B023, E731
+            heads = np.flatnonzero(np.diff(g.context[order], prepend=-1) | np.diff(_, prepend=-1))
+            code, left = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+            code[order], left[order] = read("codes"), np.repeat(read("left"), np.diff(heads, append=len(order)))
+            if level == 2:
+                count[g.context[order[heads]]] = read("totals")
+                p = (count + 1)[g.tokens] / (n + v + 1)
+                lower = np.log10(p)
+            p[g.at] = decoded(code, 0.0)[g.of] + decoded(left, 1.0)[g.of] * p[g.at]
+        sums = lambda x: np.add.reduceat(x, g.starts)  # noqa: B023, E731
+        out.append(pa.table([pa.array(row["ids"], chunks.schema.field("ids").type.value_type), pa.array(row["learns"]), pa.array(g.ends - g.starts), pa.array(sums((count > 0).astype(np.int64)[g.tokens])), pa.array(sums(lower)), pa.array(sums(np.log10(p)))], ["doc_id", "learns", "n_tokens", "n_known", "base_score", "score"]))
+    return pa.concat_tables(out)
+
+
+def score(docs: DataFrame, learns: Column, text: str = "text", order: int = ORDER, chunk: int = CHUNK, shard: int = SHARD, hot_tokens: int = HOT) -> DataFrame:
     """docs' rows as doc_id, learns, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of a text (A-Z lower-cased, parted by ASCII white space) and one end.
     Rows where learns is true train the model. base_score is the sum of log10((c + 1) / (N + V + 1))
-    over the tokens, score the model's log10 probability of the text.
+    over the tokens, score the model's log10 probability of the text, by n-grams of up to `order` (2 or more) words.
 
-    A chunk of texts sends each shard one row with its pairs, counted by document, so a frequent
-    pair or first word travels once for a document. The number of shards follows the bytes of text.
+    Chunks (of about `chunk` tokens) and their answers are joined by the chunk; the number of shards follows that of
+    tokens (`shard` each), and contexts of more than hot_tokens entries are spread, so a task holds a chunk or a
+    shard. Scores don't depend on these three. N-grams are told apart by a 64-bit hash of the context and 32 bits of the word's; counts of words by 64 bits.
 
-    Null texts count as empty: the end alone. Rows that repeat both doc_id and text share one
-    score (each trains). Without training rows all counts are 0. An empty table gives an empty one.
+    Null texts count as empty: the end alone. Repeated rows are each scored and each train. Without
+    training rows all counts are 0. An empty table gives an empty one.
     """
+    if order < 2:
+        raise ValueError("order is 2 at least")
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), learns.alias("learns"))
-    rows = rows.withColumn("uid", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"))
-    size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if("learns")).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    dealt = rows.select("uid", F.col("learns").alias("train"), "text").mapInArrow(lambda b: _pairs(b, shards), "shard int, " + ", ".join(f"{c} binary" for c in _PARTS))
-    done = cut(dealt.groupBy("shard").applyInArrow(_scored, _RESULT), "lm-scored")
-    counts = done.filter("kind = 2").select("word", F.col("n").alias("c"))
-    learnt = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    n, v = learnt.n + ends, learnt.v + (ends > 0)
-    whole = float(np.log10(n + v + 1))
-    missing = done.filter("kind = 1").groupBy("uid", "word").agg(F.sum("n").alias("times"))
-    missing = cut(missing, "lm-unseen").join(cut(counts, "lm-unigrams"), "word", "left").groupBy("uid")
-    missing = missing.agg(F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("unseen"))
-    sums = done.filter("kind = 0").groupBy("uid").agg(*(F.sum(c).alias(c) for c in ("n", "known", "lower", "ends", "base", "score")))
-    sums = sums.join(missing, "uid", "left")
-    # Each end is a token: after a word it was scored there, in an empty text it is a first token.
-    end = float(np.log10(ends + 1))
-    many = rows.groupBy("uid").agg(F.count("*").alias("rows"))
-    sums = cut(sums.join(many, "uid").select("uid", *((F.col(c) / F.col("rows")).alias(f"_{c}") for c in ("n", "known", "lower", "ends", "base", "score", "unseen"))), "lm-sums")
-    out = rows.drop("text").join(sums, "uid", "left")
-    part = lambda c: F.coalesce(F.col(f"_{c}"), F.lit(0.0))
-    empty = F.when(F.col("_n").isNull(), 1).otherwise(0)
-    tokens = part("n") + 1
-    return out.select(
-        "doc_id", "learns", tokens.cast("long").alias("n_tokens"), (part("known") + int(ends > 0)).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (part("base") + end - tokens * whole).alias("base_score"),
-        (part("score") + part("unseen") + (part("ends") + empty) * end - (part("lower") + empty) * whole).alias("score"),
-    )
+    rows = docs.select("doc_id", learns.alias("learns"), F.col(text).cast("string").alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    fields = f"chunk long, ids array<{kind}>, learns array<boolean>, sizes array<int>, words array<long>, times array<int>, learnt array<int>, tokens binary"
+    as_arrow = _arrow(spark, fields)
+    chunks = cut(rows.mapInArrow(lambda b: _chunked(b, as_arrow, chunk), fields), "lm-chunks", scan=True)
+    said = chunks.select(F.explode(F.arrays_zip("words", "times", "learnt")).alias("x")).groupBy("x.words").agg(F.sum("x.times").alias("times"), F.sum("x.learnt").alias("c"))
+    said = cut(said, "lm-words")
+    zero = F.lit(0).cast("long")
+    n, v, tokens, ends = said.agg(F.coalesce(F.sum("c"), zero), F.count_if(F.col("c") > 0), F.coalesce(F.sum("times"), zero), F.coalesce(F.sum(F.when(F.col("words") == int(END), F.col("c"))), zero)).first()
+    shards = max(1, -(-tokens // shard))
+    # At most one hot context for hot_tokens tokens.
+    hot = [r.words for r in said.filter((F.col("times") > hot_tokens) & (F.col("words") != int(END))).select("words").collect()]
+    levels, answers = [], None
+    for level in range(2, order + 1):
+        held, spread = np.array(hot, np.int64).view(np.uint64), min(shards, 2 * len(hot) + 1)
+        levels.append((shards, held, spread))
+        asked = lambda only_hot: chunks.mapInArrow(lambda b: _asked(b, level, shards, held, spread, only_hot), _ASK)  # noqa: B023, E731
+        totals: dict[int, tuple[int, int]] = {}
+        if hot:
+            found = asked(True).groupBy("shard").applyInArrow(_totals, "context long, total long, kinds long").groupBy("context").agg(F.sum("total").alias("t"), F.sum("kinds").alias("k"))
+            totals = {r.context & (2**64 - 1): (r.t, r.k) for r in found.collect()}
+        made = cut(asked(False).groupBy("shard").applyInArrow(lambda t: _answered(t, level, totals, hot_tokens if level < order else np.inf), _ANSWER), "lm-answers")  # noqa: B023
+        hot = [r.hot for r in made.filter("hot is not null").select("hot").collect()] if level < order else []
+        some = made.filter("hot is null").drop("hot")
+        answers = some if answers is None else answers.unionByName(some)
+    result = f"doc_id {kind}, learns boolean, n_tokens long, n_known long, base_score double, score double"
+    out = chunks.drop("times", "learnt").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: _scored(a, b, levels, n, v, ends), result)
+    return out.select("doc_id", "learns", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _arrow(spark, fields: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(spark.createDataFrame([], fields).schema)

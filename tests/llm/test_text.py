@@ -16,7 +16,7 @@ from keyloom.llm import license_scan, lm_scoring, packing, queries, token_counts
 
 DATA = "/root/testdata/sf0.001"
 TEXTS = [
-    None, "", " ", "one", "Two  spaces\tand\n\nlines ", "ÀÉ straße ﬁ ½ e\u0301 \u00a0x\u2028y", "日本語 テスト 😀", "<|endoftext|> [UNK] <s> </s>", "don't can't A.B.C, 12345 x_y", "\r\n a \x0b b \x85 c",
+    None, "“Curly” — naïve\u00a0Δοκιμή тест\u2003测试 ΟΔΟΣ İstanbul \u1e9e", "x <|endoftext|> “y”", "", " ", "one", "Two  spaces\tand\n\nlines ", "ÀÉ straße ﬁ ½ e\u0301 \u00a0x\u2028y", "日本語 テスト 😀", "<|endoftext|> [UNK] <s> </s>", "don't can't A.B.C, 12345 x_y", "\r\n a \x0b b \x85 c",
     "z" * 20_000, "word " * 30_000, " ".join(f"w{i}!" for i in range(20_000)),
 ]
 
@@ -63,7 +63,7 @@ def test_license_base_by_brute_force(spark, odd):
     [
         ("MIT", {"mit"}, True), ("MIT OR GPL-2.0-only", {"mit", "gpl-2.0-only"}, True), ("MIT AND GPL-2.0-only", {"mit", "gpl-2.0-only"}, False),
         ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT", {"gpl-2.0-only with classpath-exception-2.0", "mit"}, True), ("(MIT OR GPL-2.0) AND Apache-2.0", {"mit", "gpl-2.0", "apache-2.0"}, True),
-        ("GPL-2.0 AND MIT OR ISC", {"gpl-2.0", "mit", "isc"}, True), ("MIT */", {"mit"}, True),
+        ("GPL-2.0 AND MIT OR ISC", {"gpl-2.0", "mit", "isc"}, True), ("MIT */", {"mit"}, True), ("LGPL-2.1+", {"lgpl-2.1+"}, False), ("see the file COPYING", {"see"}, False),
     ],
 )
 def test_license_expressions(expression, labels, permissive):
@@ -72,8 +72,13 @@ def test_license_expressions(expression, labels, permissive):
 
 def test_broken_license_expressions():
     assert license_scan.postfix("") == [] and license_scan.postfix("AND") == [] and license_scan.postfix("(MIT") == []
-    text = "SPDX-License-Identifier: Apache-2.0 OR GPL-3.0-only\n"
-    assert license_scan.scan(text, license_scan.automaton())[5:] == ("apache-2.0,gpl-3.0-only", True, 1.0)
+    found = license_scan.automaton()
+    scan = lambda x: license_scan.scan(f"SPDX-License-Identifier: {x}\n", found)[5:]
+    assert scan("Apache-2.0 OR GPL-3.0-only") == ("apache-2.0,gpl-3.0-only", True, 1.0)
+    assert scan("see the file COPYING") == ("unknown:see", False, 0.5)
+    assert scan("GPL-2.0+ WITH Classpath-exception-2.0") == ("gpl-2.0+ with classpath-exception-2.0", False, 1.0)
+    assert scan("LicenseRef-mine") == ("licenseref-mine", False, 1.0)
+    assert len(license_scan.IDENTIFIERS) < 200 and license_scan.scan("Boost Software License, all rights reserved", found)[5] == "all-rights-reserved,bsl"
 
 
 def check_packing(rows, docs, tok, size=1024):
@@ -129,46 +134,56 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
 
-def brute_scores(docs):
+def brute_scores(docs, order):
     """(doc_id, text) rows and whether each trains, to n_tokens, n_known, N, base score and unquantised score."""
-    uni, pairs, after = Counter(), Counter(), defaultdict(set)
+    grams, after, follows = Counter(), defaultdict(set), Counter()
     for _, t, learns in docs:
-        if learns:
-            w = [*words(t), None]
-            uni.update(w)
-            for a, b in zip(w, w[1:]):
-                pairs[a, b] += 1
-                after[a].add(b)
-    follows = Counter()
-    for (a, _), c in pairs.items():
-        follows[a] += c
-    n, v = sum(uni.values()), len(uni)
-    p1 = lambda x: math.log10((uni[x] + 1) / (n + v + 1))
-
-    def p2(a, b):
-        if pairs[a, b]:
-            return math.log10((pairs[a, b] - lm_scoring.DISCOUNT) / follows[a])
-        return (math.log10(lm_scoring.DISCOUNT * len(after[a]) / follows[a]) if follows[a] else 0) + p1(b)
+        w = [*words(t), None]
+        for k in range(1, order + 1):
+            for i in range(len(w) - k + 1) if learns else ():
+                grams[tuple(w[i : i + k])] += 1
+                if k > 1:
+                    after[tuple(w[i : i + k - 1])].add(w[i + k - 1])
+                    follows[tuple(w[i : i + k - 1])] += 1
+    n, v = sum(c for g, c in grams.items() if len(g) == 1), sum(len(g) == 1 for g in grams)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (grams[gram] + 1) / (n + v + 1)
+        context, lower = gram[:-1], p(gram[1:])
+        if not follows[context]:
+            return lower
+        known = (grams[gram] - lm_scoring.DISCOUNT) / follows[context] if grams[gram] else 0
+        return known + lm_scoring.DISCOUNT * len(after[context]) / follows[context] * lower
 
     out = []
     for i, t, _ in docs:
         w = [*words(t), None]
-        out.append((i, len(w), sum(uni[x] > 0 for x in w), n, sum(map(p1, w)), p1(w[0]) + sum(p2(a, b) for a, b in zip(w, w[1:]))))
+        places = range(len(w))
+        out.append((i, len(w), sum(grams[(x,)] > 0 for x in w), n, sum(math.log10(p((x,))) for x in w), sum(math.log10(p(tuple(w[max(0, k - order + 1) : k + 1]))) for k in places)))
     return out
 
 
-def test_scores_by_brute_force(spark, odd):
+@pytest.mark.parametrize("order, sizes", [(2, {}), (3, {"chunk": 5000, "shard": 20_000, "hot_tokens": 1000}), (4, {"chunk": 50_000, "shard": 100_000})])
+def test_scores_by_brute_force(spark, odd, order, sizes):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(odd.select(F.col("doc_id") + 100_000, "text")).fillna({"doc_id": -5})
-    got = {r.doc_id: r for r in lm_scoring.score(docs, F.pmod("doc_id", F.lit(7)) != 2).collect()}
-    for i, n, known, total, base, score in brute_scores([(r.doc_id, r.text, r.doc_id % 7 != 2) for r in docs.collect()]):
+    got = {r.doc_id: r for r in lm_scoring.score(docs, F.pmod("doc_id", F.lit(7)) != 2, order=order, **sizes).collect()}
+    rows = [(r.doc_id, r.text, r.doc_id % 7 != 2) for r in docs.collect()]
+    assert len(got) == len(rows)
+    for i, n, known, total, base, score in brute_scores(rows, order):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-9)
-        # Each token takes one quantised value, rounded down by a level at most; half the levels are even steps.
-        step = math.log10(4 * total) / (lm_scoring.LEVELS // 2 - 1)
-        assert -n * step - 1e-6 <= r.score - score <= 1e-6
+        # Each order's numbers are rounded down by a level at most.
+        assert -n * (order - 1) / lm_scoring.STEPS - 1e-6 <= r.score - score <= 1e-6
+
+
+def test_scores_of_nulls_repeats_and_empty_tables(spark):
+    docs = spark.createDataFrame([(None, None, 1, "x"), (None, "a b", 1, "x"), (1, "a b", 1, "x"), (1, "a b", 1, "x"), (2, "", 1, "x")], "doc_id long, text string, score int, learns string")
+    got = lm_scoring.score(docs, F.lit(True)).collect()
+    assert sorted((r.n_tokens, r.train_tokens) for r in got) == [(1, 11), (1, 11), (3, 11), (3, 11), (3, 11)]
     assert lm_scoring.score(docs.limit(0), F.lit(True)).count() == 0
-    assert {r.n_known for r in lm_scoring.score(docs.limit(3), F.lit(False)).collect()} == {0}
+    assert {r.n_known for r in lm_scoring.score(docs, F.lit(False)).collect()} == {0}
 
 
 def test_model_beats_the_base_on_held_out_texts(spark):
