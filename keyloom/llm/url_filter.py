@@ -9,8 +9,6 @@ from .common import cut, lower_ascii
 
 #: Hex digits of a digest that the first join compares (32 bits).
 PREFIX_HEX = 8
-#: Distinct (labels in the host, length of the path) shapes that a rule table may have.
-MAX_SHAPES = 4096
 
 
 def url_host(url: Column) -> Column:
@@ -33,41 +31,38 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     where the url's path starts with the rule's. The longest rule wins, of equally long ones
     that with the longer host, of equal ones block.
 
-    Each url is expanded to the host suffixes and path prefixes of the shapes that rules have;
-    an expression meets the rules by an equi-join on the first 32 bits of its SHA-256, the
-    full digest confirms. The best rule of each (host, path) is found by a combinable max,
-    then joined to the pages, so a host that a third of the pages share is one aggregate row.
+    Distinct hosts are expanded to their suffixes, which meet the rules' hosts; a url is then expanded to
+    the path prefixes of the lengths that the rules of its suffixes have, and these expressions meet the
+    rules. Both are equi-joins on the first 32 bits of a SHA-256, which the full digest confirms. The
+    best rule of each (host, path) is found by a combinable max, then joined to the pages, so a host that
+    a third of the pages share is one aggregate row. Rules may be of any number and form.
 
     Null or malformed urls: host and path are empty, no rule fits and the default holds.
     Repeated pages are all judged; an empty table gives an empty one; without rules the default holds.
     """
     rules = rules.select(
         lower_ascii(F.coalesce("host", F.lit(""))).alias("h"), F.coalesce("path", F.lit("")).alias("p"), F.col("verdict").alias("v")
-    ).withColumns({"k": F.size(F.split("h", r"\.")), "n": F.length("p"), "rule": F.concat("h", "p")})
-    shapes = rules.select("k", "n").distinct().limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"rules of more than {MAX_SHAPES} shapes; split the rule table")
+    ).withColumns({"n": F.length("p"), "rule": F.concat("h", "p")})
     digest = lambda c: F.sha2(c, 256)
+    short = lambda c: F.substring(c, 1, PREFIX_HEX)
+    # A host holds no slash, so the first one parts an expression in one way only.
+    said = digest(F.concat("h", F.lit("/"), "p"))
     listed = rules.select(
-        F.substring(digest(F.col("rule")), 1, PREFIX_HEX).alias("x"), digest(F.col("rule")).alias("d"),
+        short(said).alias("x"), said.alias("d"),
         F.struct(F.length("rule").alias("len"), F.length("h").alias("hlen"), (F.col("v") == "block").alias("block"), F.col("rule"), F.col("v")).alias("r"),
     )
+    lengths = rules.groupBy("h").agg(F.collect_set("n").alias("ns")).withColumn("d", digest(F.col("h"))).withColumn("x", short(F.col("d")))
     parts = pages.withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))})
-    # A host without a dot-free suffix of k labels, or a path shorter than n, has no such expression.
     labels = F.split("host", r"\.")
-    made = F.transform(
-        F.array(*[F.struct(F.lit(s.k).alias("k"), F.lit(s.n).alias("n")) for s in shapes]) if shapes else F.array().cast("array<struct<k:int,n:int>>"),
-        lambda s: F.when(
-            (F.size("labels") >= s.k) & (F.length("path") >= s.n),
-            F.concat(F.array_join(F.slice("labels", -s.k, s.k), "."), F.expr("path").substr(F.lit(1), s.n)),
-        ),
-    )
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
+    hosts = parts.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).withColumn("full", digest(F.col("suffix"))).withColumn("x", short(F.col("full")))
+    hosts = hosts.join(lengths, "x").filter(F.col("full") == F.col("d")).select("host", "suffix", "ns")
     met = (
-        parts.select("host", "path", labels.alias("labels"))
-        .select("host", "path", F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e"))
-        .select("host", "path", digest(F.col("e")).alias("full"))
-        .withColumn("x", F.substring("full", 1, PREFIX_HEX))
-    )
+        parts.select("host", "path").join(hosts, "host")
+        .select("host", "path", "suffix", F.explode(F.filter("ns", lambda n: n <= F.length("path"))).alias("n"))
+        .select("host", "path", digest(F.concat("suffix", F.lit("/"), F.expr("substr(path, 1, n)"))).alias("full"))
+        .withColumn("x", short(F.col("full")))
+    )
     best = (
         met.join(listed, "x").filter(F.col("full") == F.col("d")).groupBy("host", "path").agg(F.max("r").alias("r"))
         .select("host", "path", F.col("r.rule").alias("rule"), F.col("r.v").alias("verdict"))
