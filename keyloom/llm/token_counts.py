@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A character outside printable ASCII, tab, line feed, carriage return and the visible Latin-1 letters and signs.
-#: Without one, normal form C changes nothing and white space is just these four, so white space parts pre-tokens.
+#: Without one, normal form C changes nothing and lower-casing is that of Python.
 ODD = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
-#: Pre-tokens whose pieces a worker remembers.
-REMEMBERED = 300_000
+#: White space as the tokenizer's normaliser has it. No normal form or case joins what it parts.
+SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Pre-tokens whose pieces a worker remembers, and characters of texts whose frequencies are held at once.
+REMEMBERED, CHUNK = 150_000, 2_000_000
 
 
 def tokenizer(path: str):
@@ -26,32 +28,44 @@ def tokenizer(path: str):
     return found
 
 
+def chunks(texts: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
+    """(number of the first text, texts) of runs of texts of about CHUNK characters."""
+    at, size, held = 0, 0, []
+    for i, t in enumerate(texts):
+        held.append(t.as_py())
+        size += len(held[-1] or "")
+        if size > CHUNK:
+            yield at, held
+            at, size, held = i + 1, 0, []
+    if held:
+        yield at, held
+
+
 def counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """(key, text) to (key, n_bytes, n_tokens).
 
-    For each text the frequencies of its pre-tokens (runs between white space, lower-cased as the
-    tokenizer does); of the batch's distinct ones those not yet known are encoded once, for their
-    number of pieces only; then frequencies and numbers are joined and summed. Texts with an
-    unusual character or a special token's string go to the tokenizer whole."""
+    For each text the frequencies of its pre-tokens (runs between white space); of some texts' distinct
+    ones those not yet known are encoded once, for their number of pieces only; then frequencies and
+    numbers are joined and summed. Only texts with a special token's string go to the tokenizer whole."""
     tok = tokenizer(path)
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
     pieces: dict[str, int] = {}
     for b in batches:
-        texts = b.column(1).to_pylist()
-        held: list[Counter | None] = []
-        for t in texts:
-            low = (t or "").lower()
-            plain = not ODD.search(t or "") and not any(s in low for s in special)
-            held.append(Counter(low.split()) if plain else None)
-        new = {w for h in held if h for w in h} - pieces.keys()
-        if len(pieces) + len(new) > REMEMBERED:
-            pieces, new = {}, {w for h in held if h for w in h}
-        new = sorted(new)
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
-            pieces |= {w: len(e) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True)}
-        n = [sum(k * pieces[w] for w, k in h.items()) if h is not None else len(tok.encode(t, add_special_tokens=False)) for t, h in zip(texts, held, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        for first, texts in chunks(b.column(1)):
+            held: list[Counter | None] = []
+            for t in texts:
+                t = t or ""
+                words = SPACE.split(t) if ODD.search(t) else t.lower().split()
+                held.append(None if any(s in t for s in special) else Counter(words))
+            new = {w for h in held if h for w in h} - pieces.keys()
+            if len(pieces) + len(new) > REMEMBERED:
+                pieces, new = {}, {w for h in held if h for w in h}
+            new = sorted(new)
+            for at in range(0, len(new), 20_000):
+                part = new[at : at + 20_000]
+                pieces |= {w: len(e) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True)}
+            n = [sum(k * pieces[w] for w, k in h.items()) if h is not None else len(tok.encode(t, add_special_tokens=False)) for t, h in zip(texts, held, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(texts)), pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, text: str = "text") -> DataFrame:
