@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut
+from .common import cut, free
 
 #: Positions of the ring, and parts of each position among which its rows are spread by their id.
 SLOTS, PARTS = 8192, 32
@@ -44,17 +44,20 @@ def assign(docs: DataFrame, shards: int, key: str = "text", vnodes: int = VNODES
     placed by its rows of equal size, of which a shard takes as many as it has room for (a range of
     ranks); so copies of one text are split anywhere, whatever their ids. PARTS spreads their ranking.
     slot numbers a shard's rows without gap from 0: its ranges' offsets plus the rank in the range.
+    What is broadcast are the ring and the ranges: some 100 bytes each for VNODES nodes a shard, and at most
+    SLOTS x PARTS cells and as many units again as heavy cells have sizes, below 100 MB whatever the table's size.
 
     Null texts count as empty, null ids are a value; repeated rows are each placed; an empty
     table gives an empty one.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(key), F.lit(""))
-    rows = docs.drop("size", "shard", "slot", "__slot", "__part").withColumns({
-        "size": (F.octet_length(text) + 8).cast("long"), "__slot": F.pmod(F.xxhash64(text), F.lit(SLOTS)).cast("int"),
-        "__part": F.pmod(F.xxhash64(F.lit(7), F.coalesce("doc_id", F.lit(-1))), F.lit(PARTS)).cast("int"),
-    })
-    sizes = cut(rows.groupBy("__slot", "__part", "size").agg(F.count("*").alias("n")), "shard-sizes")
+    own = free(docs)
+    slot, part, placed_at = f"{own}slot", f"{own}part", f"{own}rank"
+    rows = docs.withColumn(slot, F.pmod(F.xxhash64(text), F.lit(SLOTS)).cast("int")).withColumn(part, F.pmod(F.xxhash64(F.lit(7), F.coalesce("doc_id", F.lit(-1))), F.lit(PARTS)).cast("int"))
+    rows = rows.withColumn("size", (F.octet_length(text) + 8).cast("long")).drop("shard", "slot")
+    small = rows.select(F.col(slot).alias("__slot"), F.col(part).alias("__part"), "size")
+    sizes = cut(small.groupBy("__slot", "__part", "size").agg(F.count("*").alias("n")), "shard-sizes")
     total = sizes.agg(F.coalesce(F.sum(F.col("n") * F.col("size")), F.lit(0)).alias("b")).first().b
     # Units: rows of equal size in a heavy cell, a light cell as a whole. What ends a shard's filling is one of them.
     bound, heavy = total / shards * (1 + slack / 2), total / shards * slack / 2
@@ -94,12 +97,10 @@ def assign(docs: DataFrame, shards: int, key: str = "text", vnodes: int = VNODES
         moved = (F.col("from") + F.col("taken") * F.col("each")).alias("from")
         waiting = asked.filter("taken < units").select("__slot", "__part", moved, "unit", (F.col("units") - F.col("taken")).alias("units"), "each", "idx", "hop")
     start = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("__slot", "__part", "from").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    where = placed.select("__slot", "__part", "shard", "hop", start.alias("start"), F.col("from").alias("__from"), (F.col("from") + F.col("n")).alias("__to"))
+    begin, low, high, at, of = (own + x for x in ("begin", "from", "to", "s", "p"))
+    where = placed.select("shard", F.col("__slot").alias(at), F.col("__part").alias(of), start.alias(begin), F.col("from").alias(low), (F.col("from") + F.col("n")).alias(high))
     order = [c for c in ("doc_id", "text_crc32") if c in rows.columns]
-    rank = F.row_number().over(W.partitionBy("__slot", "__part").orderBy("size", *order)) - 1
-    where = where.withColumnsRenamed({"__slot": "__s", "__part": "__p"})
-    inside = (F.col("__slot") == F.col("__s")) & (F.col("__part") == F.col("__p")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to"))
-    return (
-        rows.withColumn("__rank", rank).join(F.broadcast(where), inside)
-        .withColumn("slot", F.col("start") + F.col("__rank") - F.col("__from")).drop("__slot", "__part", "__rank", "__s", "__p", "__from", "__to", "start", "hop")
-    )
+    rank = F.row_number().over(W.partitionBy(slot, part).orderBy("size", *order)) - 1
+    inside = (F.col(slot) == F.col(at)) & (F.col(part) == F.col(of)) & (F.col(placed_at) >= F.col(low)) & (F.col(placed_at) < F.col(high))
+    out = rows.withColumn(placed_at, rank).join(F.broadcast(where), inside).withColumn("slot", F.col(begin) + F.col(placed_at) - F.col(low))
+    return out.drop(slot, part, placed_at, at, of, begin, low, high)
