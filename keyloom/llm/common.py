@@ -92,6 +92,14 @@ def may_hold(keys: DataFrame, column: str):
     return held
 
 
+def free(df: DataFrame) -> str:
+    """A prefix that no column of df has, for columns of our own beside them."""
+    made = "__"
+    while any(c.startswith(made) for c in df.columns):
+        made += "_"
+    return made
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit hash that tells rows apart by these columns."""
     return F.xxhash64(*(c for column in columns for c in (F.col(column).isNull(), F.col(column))))
@@ -101,16 +109,17 @@ def without(rows: DataFrame, gone: DataFrame, *columns: str) -> DataFrame:
     """rows whose `row_key` of columns is not in gone (__key long).
 
     Most rows never move: a bitmap of the keys tells those that can't be in gone, only the others are joined."""
-    keyed = rows.withColumn("__key", row_key(*columns))
-    held = may_hold(gone, "__key")
-    some = keyed.filter(held("__key")).join(gone.hint("merge"), "__key", "left_anti")
-    return keyed.filter(~held("__key")).unionByName(some).drop("__key")
+    key = f"{free(rows)}key"
+    keyed, gone = rows.withColumn(key, row_key(*columns)), gone.select(F.col("__key").alias(key))
+    held = may_hold(gone, key)
+    some = keyed.filter(held(key)).join(gone.hint("merge"), key, "left_anti")
+    return keyed.filter(~held(key)).unionByName(some).drop(key)
 
 
 class Words(dict):
     """Word (bytes) to 64-bit hash, remembered up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash

@@ -27,9 +27,9 @@ WALKS = 8
 #: Sizes of windows follow each other in this ratio, so a window covers ten elevenths of an item at least.
 RATIO = 1.1
 #: Keys of windows that are made at once.
-KEYS = 2_000_000
+KEYS = 500_000
 #: Characters of a batch of texts that are worked on at once.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256)).lower()
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, in_bitmap, may_hold, row_key
+from .common import bitmap, cut, free, in_bitmap, may_hold, row_key
 from .components import LARGE, linked
 from .minhash import mixed
 
@@ -351,15 +351,17 @@ def drop_repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...
 
     A document that loses lines and has no word left is dropped: all it said stands in an earlier one.
     Rows without such lines stay where they are; only those that lose some are joined with them."""
+    own = free(docs)
+    key, gone, parts, kept = (own + x for x in ("key", "gone", "parts", "kept"))
     again = _repeated(docs, edits, min_chars, "text")
-    lost = cut(again.groupBy("key").agg(F.collect_list(F.col("line").cast("int")).alias("__lost")).withColumnRenamed("key", "__key"), "lines-lost")
-    held = may_hold(lost, "__key")
-    keyed = docs.withColumn("__key", row_key("doc_id", "text"))
-    joined = keyed.filter(held("__key")).join(lost.hint("merge"), "__key", "left")
+    lost = cut(again.groupBy("key").agg(F.collect_list(F.col("line").cast("int")).alias(gone)).withColumnRenamed("key", key), "lines-lost")
+    held = may_hold(lost, key)
+    keyed = docs.withColumn(key, row_key("doc_id", "text"))
+    joined = keyed.filter(held(key)).join(lost.hint("merge"), key, "left")
     lines = F.split("text", "\n")
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__lost")), lambda i: F.get("__lines", i))
-    out = joined.withColumn("__lines", F.when(F.col("__lost").isNotNull(), lines)).withColumn("__left", F.when(F.col("__lost").isNotNull(), F.array_join(left, "\n")))
-    out = out.filter(F.col("__left").isNull() | F.col("__left").rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.coalesce("__left", "text"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda i: F.get(parts, i))
+    out = joined.withColumn(parts, F.when(F.col(gone).isNotNull(), lines)).withColumn(kept, F.when(F.col(gone).isNotNull(), F.array_join(left, "\n")))
+    out = out.filter(F.col(kept).isNull() | F.col(kept).rlike(r"[^\x20\x09-\x0D]")).withColumn("text", F.coalesce(kept, "text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__lost").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return keyed.filter(~held("__key")).select(docs.columns).unionByName(out.select(docs.columns))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return keyed.filter(~held(key)).select(docs.columns).unionByName(out.select(docs.columns))

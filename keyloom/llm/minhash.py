@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, may_hold, row_key, without
+from .common import Words, cut, free, may_hold, row_key, without
 from .components import linked
 
 #: A pair of Jaccard similarity 0.8 has fewer than AGREE collisions in POSTED coordinates, or than MATCHES in
@@ -143,11 +143,14 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGL
     left = without(docs, gone, "doc_id", "text")
     if again.isEmpty():
         return left
-    held = may_hold(again, "__key")
-    keyed = left.withColumn("__key", row_key("doc_id", "text"))
-    some = keyed.filter(held("__key")).join(again.withColumn("__twice", F.lit(True)).hint("merge"), "__key", "left")
-    once = some.filter("__twice").dropDuplicates(["__key"]).unionByName(some.filter("__twice is null"))
-    return keyed.filter(~held("__key")).select(docs.columns).unionByName(once.select(docs.columns))
+    own = free(docs)
+    key, twice = f"{own}key", f"{own}twice"
+    again = again.select(F.col("__key").alias(key), F.lit(True).alias(twice))
+    held = may_hold(again, key)
+    keyed = left.withColumn(key, row_key("doc_id", "text"))
+    some = keyed.filter(held(key)).join(again.hint("merge"), key, "left")
+    once = some.filter(F.col(twice)).dropDuplicates([key]).unionByName(some.filter(F.col(twice).isNull()))
+    return keyed.filter(~held(key)).select(docs.columns).unionByName(once.select(docs.columns))
 
 
 def _judged(docs: DataFrame, percent: int, width: int, text: str) -> DataFrame:

@@ -27,7 +27,7 @@ SIZE, END = 1024, 2
 #: Parts among which the pieces of one length are spread for numbering.
 PARTS = 128
 #: Encoded words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _NEXT_TO_SPACE = re.compile(r" [ \t\n\r]|[\t\n\r] ")
 
 
