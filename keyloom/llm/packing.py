@@ -24,8 +24,8 @@ from .common import cut
 from .token_counts import ODD, tokenizer
 
 SIZE, END = 1024, 2
-#: Parts among which the pieces of one length are spread for numbering.
-PARTS = 128
+#: Parts among which the pieces of one length are spread for numbering: PARTS at least, more where a part would hold over PART_ROWS.
+PARTS, PART_ROWS = 128, 500_000
 #: Encoded words that a worker remembers.
 REMEMBERED = 100_000
 _NEXT_TO_SPACE = re.compile(r" [ \t\n\r]|[\t\n\r] ")
@@ -149,9 +149,9 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
     public byte-level vocabulary) and the id `end`. One of more than size ids is cut into pieces of
     size, the first shorter. Sequences hold size ids at most.
 
-    Pieces are numbered within their length (counts of length and hashed part, at most size * PARTS
-    rows, give each part its offset; ranks are taken within parts, so copies of one text
-    spread), and the number finds the place in the plan by a range join with its entries, of bounded number too.
+    Pieces are numbered within their length: counts of length and hashed part give each part its offset, and
+    ranks are taken within parts, whose number follows that of pieces, so that neither a frequent
+    length nor copies of one text are one task. The number finds the place in the plan by a join on the length and a range of numbers.
 
     Null texts count as empty: one piece of the end id. Repeated rows are each packed. An empty table gives an empty one.
     """
@@ -163,8 +163,10 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
     rows = docs.select("doc_id", F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     pieces = rows.mapInArrow(lambda b: _cut(b, path, size, end), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
-    part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(PARTS)).cast("int").alias("part")
-    pieces = cut(pieces.select("*", part), "pack-pieces")
+    mark = F.xxhash64("doc_id", "piece", "ids_crc32").alias("mark")
+    pieces = cut(pieces.select("*", mark), "pack-pieces", scan=True)
+    parts = max(PARTS, -(-pieces.count() // PART_ROWS))
+    pieces = pieces.withColumn("part", F.pmod("mark", F.lit(parts)).cast("int")).drop("mark")
     counts = cut(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "pack-counts")
     entries, sequence, starts = [], 0, dict.fromkeys(range(size + 1), 0)
     for copies, pattern in plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, size):
@@ -178,7 +180,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, end: int =
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("length", "part", before.alias("before"))
     rank = F.row_number().over(W.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("rank", rank).join(F.broadcast(offsets), ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = pieces.withColumn("rank", rank).join(offsets, ["length", "part"]).withColumn("rank", F.col("rank") + F.col("before"))
     found = ranked.join(F.broadcast(placed), (ranked.length == placed.length) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("stop"))).drop(placed.length)
     nth = F.col("rank") - F.col("first")
     return found.select(

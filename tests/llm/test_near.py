@@ -68,6 +68,29 @@ def test_near_duplicates_of_the_test_table(spark):
     assert got == near_by_brute_force([(r.doc_id, r.text) for r in docs.collect()], 85)
 
 
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(components, "LARGE", 5)
+    rng = random.Random(12)
+    base = [f"v{rng.randrange(3000)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, base, rng.randrange(1, 7))) for _ in range(80)] + [" ".join(f"v{rng.randrange(3000)}" for _ in range(80)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    seen = []
+    banded = minhash._banded
+    monkeypatch.setattr(minhash, "_banded", lambda nodes: seen.append(nodes.count()) or banded(nodes))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == near_by_brute_force(rows, 85)
+    assert sum(seen) > 20
+
+
+def test_dropping_near_duplicates_judges_rows(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, long, "b"), (2, long + " more", "c"), (1, "other text of its own with some words", "d"), (3, "other text of its own with some words", "e"), (None, long, "f"), (4, None, "g"), (4, None, "h")]
+    got = minhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, `__key` string"))
+    assert got.columns == ["doc_id", "text", "__key"]
+    left = Counter((r.doc_id, r.text) for r in got.collect())
+    assert left == Counter([(1, long), (1, "other text of its own with some words"), (None, long), (4, None), (4, None)])
+
+
 def test_near_duplicates_with_null_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
     got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
@@ -225,6 +248,18 @@ def test_dropping_lines_follows_the_found_ones(spark):
     assert Counter(map(tuple, line_dedup.drop_repeated_lines(docs, 2, 20).collect())) == want
 
 
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    rows = [(0, "x"), (1, "x\nshort tail"), (1, "y\nother tail"), (2, "y\nlast"), (2, "y\nlast"), (None, "x")]
+    left = Counter((r.doc_id, r.text) for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert left == Counter([(0, "x"), (1, "short tail"), (1, "y\nother tail"), (2, "last"), (2, "last"), (None, "x")])
+
+
+def test_lines_of_other_planes_are_no_copies():
+    a, b = "а" * 45, "".join(chr(0x10000 + ord("а")) for _ in range(45))
+    lines = line_dedup.Lines([a, b], 1)
+    assert lines.h[0] != lines.h[1] and lines.profile(True).tolist() is not None
+
+
 def held(item, text):
     """Least edit distance of item to a part of text."""
     row = [0] * (len(text) + 1)
@@ -236,6 +271,26 @@ def held(item, text):
     return min(row)
 
 
+@pytest.mark.parametrize("head", [False, True])
+def test_recall_does_not_fall_with_the_length(spark, head):
+    """A fifth of the words edited, anywhere or all in the first half."""
+    rng = random.Random(7)
+    lengths, each = (8, 20, 59, 150, 250, 500), 15
+    items = [(100 * n + k, [f"b{rng.randrange(20_000)}" for _ in range(n)]) for n in lengths for k in range(each)]
+    rows = []
+    for i, w in items:
+        own, edits = list(w), decontaminate.allowed(len(w), decontaminate.MAX_EDITS)
+        for _ in range(edits):
+            at = rng.randrange(len(own) // 2 if head else len(own))
+            own[at : at + rng.randrange(2)] = rng.choice([[], [f"t{rng.randrange(500)}"]])
+        rows.append((i, " ".join([f"t{rng.randrange(500)}" for _ in range(30)] + own + [f"t{rng.randrange(500)}" for _ in range(30)])))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r.doc_id for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect() if r.doc_id == r.item_id}
+    by = {n: sum(100 * n + k in got for k in range(each)) / each for n in lengths}
+    print(by)
+    assert len(got) >= 0.9 * len(items) and min(by.values()) >= 0.8
+
+
 def test_leaks_by_brute_force(spark):
     rng = random.Random(6)
     items = [(i, " ".join(f"b{rng.randrange(400)}" for _ in range(rng.choice([3, 8, 15, 30, 60])))) for i in range(25)] + [(25, None), (26, "?!")]

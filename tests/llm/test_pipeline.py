@@ -1,7 +1,14 @@
 """The pipeline stage by stage, and its rows against the stages' own operators."""
 
+import random
 from collections import Counter
 
+import public_tokenizers
+import test_near
+import test_native
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from keyloom.llm import decontaminate, line_dedup, minhash, packing, quality
 
@@ -41,3 +48,78 @@ def test_stages_on_an_empty_table_and_nulls(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
         stage(spark, odd, DATA).collect()
+
+
+def fixture(rng):
+    """(doc_id, text): prose with repeated lines, near and exact copies, passages of the benchmark, junk, nulls and a repeated id."""
+    word = lambda k: f"{rng.choice(['tor', 'mel', 'ina', 'resh', 'oda', 'lun'])}{rng.choice(['ba', 'ki', 'to', 'en'])}{rng.randrange(k)}"
+    line = lambda: " ".join(word(900) for _ in range(rng.randrange(9, 16)))
+    items = [(i, " ".join(f"quiz{rng.randrange(400)}" for _ in range(rng.choice([10, 25, 40])))) for i in range(8)]
+    shared = [line() for _ in range(3)]
+    texts = ["\n".join(line() for _ in range(rng.randrange(6, 10))) for _ in range(24)]
+    texts += [texts[0], texts[1] + "\n" + line(), "\n".join(x.replace("ba", "b", 1) for x in texts[2].split("\n"))]
+    texts += ["\n".join([shared[k % 3], *(line() for _ in range(7)), shared[(k + 1) % 3] + "x" * (k % 3)]) for k in range(6)]
+    texts += ["\n".join([line() for _ in range(6)] + [items[k][1] if k % 2 else " ".join(items[k][1].split()[1:])] + [line()]) for k in range(6)]
+    long = [word(900) for _ in range(120)]
+    texts += [" ".join(long), *(" ".join(test_near.edited(rng, long, 2)) for _ in range(4))]
+    texts += [None, "", "few words", "spam spam spam " * 40, "# $ % & " * 40]
+    rows = list(enumerate(texts))
+    return [*rows, (3, "\n".join(line() for _ in range(7))), (None, "\n".join(line() for _ in range(7)))], items
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    rows, items = fixture(random.Random(21))
+    kinds = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    made = [(i, t, "en", "src", len(t or "")) for i, t in rows]
+    spark.createDataFrame(made, kinds).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def kept(text):
+        n, chars, symbols, repeats, covered = test_native.features(text)
+        lines = [x for x in (text or "").split("\n") if test_native.WORD.search(x)]
+        letters = sum(any(c.isalpha() for c in w) for w in test_native.WORD.findall(text or ""))
+        return not (n < 50 or 100 * covered > 50 * n or 10 * symbols > n or chars < 3 * n or chars > 12 * n or 2 * repeats > len(lines) or 10 * letters < 8 * n)
+
+    left = [(i, t) for i, t in rows if kept(t)]
+    # Lines: of classes of lines within the edits that their lengths allow all but the first go.
+    found = sorted((i, k, t, x.strip()) for i, t in left if i is not None for k, x in enumerate(t.split("\n")) if x.strip())
+    texts = sorted({x for *_, x in found})
+    most = lambda a, b: min(2, min(len(a), len(b)) // 20)
+    comp = test_near.least_of(texts, [(a, b) for n, a in enumerate(texts) for b in texts[n + 1 :] if abs(len(a) - len(b)) <= 2 and line_dedup.banded_distance(a, b, 2) <= most(a, b)])
+    first, gone = {}, set()
+    for i, k, t, x in found:
+        if first.setdefault(comp[x], (i, k, t)) != (i, k, t):
+            gone.add((i, t, k))
+    assert gone
+    left = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, t, k) not in gone)) for i, t in left]
+    left = [(i, t) for i, t in left if t.strip()]
+    # Near copies: rows with an id, of each group the one of the least id.
+    sets = [test_near.shingle_set(t) if i is not None else set() for i, t in left]
+    links = [(a, b) for a in range(len(left)) for b in range(a) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    comp = test_near.least_of(range(len(left)), links)
+    best = {}
+    for n in range(len(left)):
+        best[comp[n]] = min(best.get(comp[n], n), n, key=lambda m: -1 if left[m][0] is None else left[m][0])
+    assert links
+    left = [left[n] for n in sorted(best.values())]
+    words = lambda t: [x.decode() for x in decontaminate.words_of(t)]
+    leaks = [(i, t) for i, t in left if any(test_near.held(w, words(t)) <= decontaminate.allowed(len(w), decontaminate.MAX_EDITS) for _, x in items if (w := words(x)))]
+    assert leaks
+    left = [x for x in left if x not in leaks]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter((i, len(tok.encode(t, add_special_tokens=False).ids) + 1) for i, t in left)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    lengths = Counter()
+    for r in got:
+        lengths[r.doc_id] += r.length
+    assert Counter(lengths.items()) == Counter({(i, sum(n for j, n in want.elements() if j == i)): 1 for i in {i for i, _ in want}})
+
+
+def test_stages_with_more_columns_of_clashing_names(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    more = docs.withColumns({c: F.lit("own") for c in ("line", "node", "key", "__key", "kept", "least", "component", "item_id", "part", "row", "n_words", "__lost")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out, plain = stage(spark, more, DATA), stage(spark, docs, DATA)
+        assert out.columns == more.columns, name
+        assert Counter(map(tuple, out.select(docs.columns).collect())) == Counter(map(tuple, plain.collect())), name
+        assert {r.key for r in out.collect()} == {"own"}

@@ -130,6 +130,37 @@ def test_plan_uses_every_piece_and_fits():
     assert packing.plan({6: 1, 3: 1, 2: 2}, 10)[0] == (1, [(6, 1), (2, 2)])
 
 
+def best_two_fit(pieces, size):
+    """Bins (sorted lengths) one by one over a plain list of pieces."""
+    left, bins = sorted(pieces, reverse=True), []
+    while left:
+        held, gap = [], size
+        for x in list(left):
+            if x <= gap:
+                held.append(x), left.remove(x)
+                gap -= x
+        small = min(held)
+        if gap and len(held) > 1:
+            pairs = [(a + b, -min(a, b), a, b) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= gap + small and max(a, b) < gap + small]
+            if pairs:
+                _, _, a, b = max(pairs)
+                held.remove(small), left.append(small), held.extend([a, b]), left.remove(a), left.remove(b)
+                left.sort(reverse=True)
+        bins.append(tuple(sorted(held)))
+    return Counter(bins)
+
+
+def test_plan_equals_best_two_fit_by_hand():
+    rng = random.Random(3)
+    for _ in range(60):
+        size = rng.randint(5, 40)
+        pieces = [rng.randint(1, size) for _ in range(rng.randint(1, 120))]
+        got = Counter()
+        for copies, pattern in packing.plan(Counter(pieces), size):
+            got[tuple(sorted(k for k, n in pattern for _ in range(n)))] += copies
+        assert got == best_two_fit(pieces, size)
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
 
