@@ -50,3 +50,24 @@ def merged_segments(zones: DataFrame, most: int = 1500) -> DataFrame:
     before = F.sum("n").over(W.orderBy("first_key").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
     placed = zones.withColumn("seg", F.floor(before / most))
     return placed.groupBy("seg").agg(F.min("first_key").alias("first_key"), F.max("last_key").alias("last_key"), F.sum("n").alias("n"), F.count("*").alias("merged"))
+
+
+def live_segments(last: DataFrame, segment, deleted: str) -> DataFrame:
+    """One row (total, active, purged): segments with a live row, and without any; last has each key's last entry."""
+    live = last.groupBy(segment.alias("seg")).agg(F.count_if(~F.col(deleted)).alias("live"))
+    return live.agg(F.count("*").alias("total"), F.count_if(F.col("live") > 0).alias("active"), F.count_if(F.col("live") == 0).alias("purged"))
+
+
+def range_refined(store: DataFrame, key: str, size: int, low: int, high: int) -> DataFrame:
+    """Entries (n) of low .. high: segments that lie within count as a whole, the keys of the first and last one are looked at."""
+    seg = F.floor(F.col(key) / size)
+    inner = store.filter((seg > low // size) & (seg < high // size))
+    ends = store.filter(F.col(key).between(low, high) & ((seg == low // size) | (seg == high // size)))
+    whole = segments(inner, key, size).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    return whole.union(ends.agg(F.count("*").alias("n"))).agg(F.sum("n").alias("n"))
+
+
+def sizes(store: DataFrame, key: str, value: str) -> DataFrame:
+    """One row (entries, key_bytes, value_bytes): what a store writes down about itself when it is closed."""
+    size = lambda c: F.coalesce(F.sum(F.octet_length(F.col(c).cast("string"))), F.lit(0)).cast("long")
+    return store.agg(F.count("*").alias("entries"), size(key).alias("key_bytes"), size(value).alias("value_bytes"))

@@ -88,3 +88,12 @@ def reserve(requests: DataFrame, group: str, seq: str, offset: str, block: str,
         return out
     ok = F.col("first_key") <= most
     return out.withColumn("ok", ok).withColumn("last_key", F.when(ok, F.least("last_key", F.lit(most)))).withColumn("first_key", F.when(ok, F.col("first_key")))
+
+
+def byte_deltas(ops: DataFrame, key: str, seq: str, op: str, size: str, tx: str) -> DataFrame:
+    """(tx, user_bytes): by how many bytes of values each transaction makes the store grow; size is that of an operation's value."""
+    out = outcomes(ops, key, seq, op)
+    put = F.col("ok") & (F.col(op) != "REMOVE")
+    out = carried(out, [key], seq, F.when(put, F.col(size)), "__old").withColumn("__old", F.coalesce("__old", F.lit(0)))
+    delta = F.when(~F.col("ok"), 0).when(F.col(op) == "REMOVE", -F.col("__old")).otherwise(F.col(size) - F.when(F.col("ex"), F.col("__old")).otherwise(0))
+    return out.groupBy(tx).agg(F.sum(delta).cast("long").alias("user_bytes"))

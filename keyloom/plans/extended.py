@@ -223,3 +223,60 @@ def mount_catalog(t):
     names = ("orders", "customer", "supplier")
     counts = (spark.sql(f"select '{n}' as store, count(*) as n from {{table}}", table=t(n)) for n in names)
     return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+@query("select arg_max(octet_length(encode(text)), doc_id)::bigint as last_bytes, round(avg(octet_length(encode(text))), 6) as mean_bytes from documents where text is not null")
+def value_average_seed(t):
+    n = F.octet_length("text")
+    return t("documents").filter("text is not null").agg(F.max_by(n, "doc_id").cast("long").alias("last_bytes"), F.round(F.avg(n), 6).alias("mean_bytes"))
+
+
+@query(f"with {_LOG}, l as (select user_id, arg_max(deleted, event_id) as gone from log group by 1) select count(*) as total, count(*) filter (where live > 0) as active, count(*) filter (where live = 0) as purged from (select user_id // 20 as seg, count(*) filter (where not gone) as live from l group by 1)")
+def segments_active(t):
+    last = versions.latest(log(t), "user_id", "event_id")
+    return statistics.live_segments(last, F.floor(F.col("user_id") / 20), "deleted")
+
+
+@query("select 130 as low, 1370 as high, count(*) as n from orders where o_orderkey between 130 and 1370")
+def range_refined(t):
+    return statistics.range_refined(t("orders"), "o_orderkey", 150, 130, 1370).select(F.lit(130).alias("low"), F.lit(1370).alias("high"), "n")
+
+
+@query("""select 'orders' as store, count(*) as entries, sum(length(o_orderkey::varchar))::bigint as key_bytes, sum(length(o_orderpriority))::bigint as value_bytes from orders
+union all select 'customer', count(*), sum(length(c_custkey::varchar))::bigint, sum(length(c_name))::bigint from customer""")
+def store_statistics(t):
+    orders = statistics.sizes(t("orders"), "o_orderkey", "o_orderpriority").withColumn("store", F.lit("orders"))
+    return orders.unionByName(statistics.sizes(t("customer"), "c_custkey", "c_name").withColumn("store", F.lit("customer")))
+
+
+_OK = f"{_OPS_EX}, o as (select *, event_id // 10 as tx, case when op in ('EXISTING', 'REMOVE') then ex when op = 'UNIQUE' then not ex else true end as ok from ex), p as (select e.event_id, octet_length(encode(e.props)) as n from events e), w as (select o.*, case when ok and op <> 'REMOVE' then n end as size from o join p using (event_id)), z as (select *, coalesce(last_value(size ignore nulls) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as old from w)"
+
+
+@query(f"with {_OK} select tx, sum(case when not ok then 0 when op = 'REMOVE' then -old else size - case when ex then old else 0 end end)::bigint as user_bytes from z group by tx")
+def tx_bytes(t):
+    sized = ops(t).join(t("events").select("event_id", F.octet_length("props").alias("n")), "event_id")
+    return writes.byte_deltas(sized, "user_id", "event_id", "op", "n", "tx")
+
+
+@query("select s_suppkey, s_name as name, s_nationkey as nation from supplier")
+def xml_round_trip(t):
+    doc = F.to_xml(F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")))
+    read = F.from_xml(doc, "name string, nation int")
+    return t("supplier").select("s_suppkey", read["name"].alias("name"), read["nation"].alias("nation"))
+
+
+@query("select count(*) as n, true as in_range, true as spread from orders")
+def random_values(t):
+    x = F.rand(7)
+    drawn = t("orders").select(x.alias("x"))
+    return drawn.agg(F.count("*").alias("n"), F.every((F.col("x") >= 0) & (F.col("x") < 1)).alias("in_range"), (F.abs(F.avg("x") - 0.5) < 0.1).alias("spread"))
+
+
+@query("select true as parts_close, true as suppliers_close")
+def cardinality_within_error(t):
+    counts = t("lineitem").agg(
+        F.approx_count_distinct("l_partkey", 0.02).alias("p"), F.count_distinct("l_partkey").alias("pe"), F.approx_count_distinct("l_suppkey", 0.02).alias("s"), F.count_distinct("l_suppkey").alias("se")
+    )
+    # Within four standard errors.
+    close = lambda a, e: F.abs(F.col(a) - F.col(e)) <= 4 * 0.02 * F.col(e)
+    return counts.select(close("p", "pe").alias("parts_close"), close("s", "se").alias("suppliers_close"))

@@ -133,5 +133,9 @@ def test_store_and_stream(spark, tmp_path):
     assert {r.k: r.seq for r in ingest.current(spark, f"{tmp_path}/to", "k", "seq").collect()} == {k: 190 + k for k in range(10)}
     store.write(log, f"{tmp_path}/s", KeySpec(("k", "seq")))
     assert store.mount(spark, f"{tmp_path}/s", "s").count() == 100
+    store.compact(spark, f"{tmp_path}/s", f"{tmp_path}/compact", KeySpec(("seq",)))
+    assert [r.seq for r in spark.read.parquet(f"{tmp_path}/compact").collect()] == list(range(100))
+    store.close(spark, f"{tmp_path}/s", "s", "seq", "k")
+    assert tuple(store.reopened(spark, f"{tmp_path}/s").first()) == (100, 190, 100) and not spark.catalog.tableExists("s")
     store.clear(spark, f"{tmp_path}/s")
     assert spark.read.parquet(f"{tmp_path}/s").count() == 0
