@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ WAVES = 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bits of a bitmap for each value in it, and the least and most bits that one has (as powers of two; the most is 16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 16, 27
+#: The folders written inside each open `scratch`.
+_SCRATCH: list[list[str]] = []
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +51,27 @@ def cut(df: DataFrame, name: str, scan: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     out = df if scan else df.coalesce(WAVES * spark.sparkContext.defaultParallelism)
     out.write.parquet(path)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, keep: tuple[str, ...]) -> Iterator[None]:
+    """Tables that `cut` writes inside are deleted at the end, but for those of the names in keep, which results still read."""
+    held: list[str] = []
+    _SCRATCH.append(held)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(held)
+        conf = spark._jsc.hadoopConfiguration()
+        for path in held:
+            if not path.rsplit("/", 1)[1].startswith(tuple(f"{name}-" for name in keep)):
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(conf).delete(at, True)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 

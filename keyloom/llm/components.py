@@ -34,25 +34,45 @@ def components(links: DataFrame) -> DataFrame:
 
 #: Nodes of a bucket from which on `linked` looks for a finer one.
 LARGE = 200
+#: Most rounds of stars, the pairs across components for each node that end them, and the share of a round's pairs that must be links for one more.
+ROUNDS, EACH, LEAST = 5, 4, 0.02
 
 
-def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None, hub: str = "node", rounds: int = ROUNDS) -> DataFrame:
     """Components (node, component) of the verified links among nodes that share a bucket.
 
     postings: bucket, node (buckets of two nodes or more). facts: node and what `may` compares
     (a necessary condition on columns of sides named by prefixes). verify: pairs (a, b) to those that are linked.
 
-    Every bucket first links its nodes to its least one, which is linear in its size. What that
-    leaves in different components is then compared across components only: pairs inside a
+    Every bucket first links its nodes to one of them (the one of the least column hub of facts), which is
+    linear in its size; where that leaves very many pairs in different components, to another one, up to so many
+    rounds, as long as that finds links. What is then left in different components is compared across components only: pairs inside a
     component can't change the result. So all links count, and a large group of copies costs
     about one pair a copy. For that comparison the nodes of buckets of more than LARGE nodes are
     dealt anew by finer (rows of facts to narrower buckets that a pair worth verifying still shares).
     """
-    least = cut(postings.groupBy("bucket").agg(F.min("node").alias("a")), "bucket-least")
-    pairs = postings.join(least, "bucket").filter("node != a").select("a", F.col("node").alias("b")).distinct()
-    pairs = _possible(pairs, facts, may)
-    first = cut(verify(pairs), "links-star")
-    comp = cut(components(first), "links-components")
+    hubs = postings.join(facts.select("node", F.struct(hub, "node").alias("h")), "node") if hub != "node" else postings.withColumn("h", F.struct("node"))
+    least = cut(hubs.groupBy("bucket").agg(F.min("h")["node"].alias("a")), "bucket-least")
+    pairs = cut(postings.join(least, "bucket").filter("node != a").select("a", F.col("node").alias("b")).distinct(), "links-pairs")
+    found = cut(verify(_possible(pairs, facts, may)), "links-star")
+    comp = cut(components(found), "links-components")
+    for n in range(1, rounds):
+        tagged = cut(postings.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "links-tagged")
+        by = tagged.groupBy("bucket", "c").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
+        heavy = cut(by.withColumn("across", (F.col("s") * F.col("s") - F.col("q")) / 2).filter(F.col("across") > EACH * F.col("s")).select("bucket"), "links-heavy")
+        if heavy.isEmpty():
+            break
+        some = tagged.join(heavy, "bucket")
+        other = cut(some.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(n), "node").alias("x"), F.col("node").alias("a"), F.col("c").alias("ac"))).alias("h")).select("bucket", "h.a", "h.ac"), "bucket-least")
+        asked = some.join(other, "bucket").filter("c != ac").select("a", F.col("node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        asked = cut(asked, "links-pairs")
+        more = cut(verify(_possible(asked, facts, may)), "links-star")
+        pairs, found = pairs.union(asked), found.select("a", "b").union(more.select("a", "b"))
+        n_more = more.count()
+        if n_more:
+            comp = cut(components(found), "links-components")
+        if n_more < LEAST * asked.count():
+            break
     tagged = cut(postings.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "links-tagged")
     sizes = _mixed(tagged)
     if finer:
@@ -64,11 +84,12 @@ def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Colu
     left = cut(tagged.join(sizes.select("bucket"), "bucket").join(facts, "node"), "links-left")
     one, two = (left.select(*(F.col(c).alias(f"{p}_{c}") for c in left.columns)) for p in "ab")
     across = one.join(two, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_c") != F.col("b_c")) & may("a_", "b_"))
-    across = across.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(verify(cut(across, "links-across")), "links-more")
+    across = cut(across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "links-across")
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = cut(verify(cut(across.join(tried, ["a", "b"], "left_anti"), "links-across")), "links-more")
     if more.isEmpty():
         return comp
-    return cut(components(first.select("a", "b").union(more.select("a", "b"))), "links-components")
+    return cut(components(found.select("a", "b").union(more.select("a", "b"))), "links-components")
 
 
 def _mixed(tagged: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, cut, free, in_bitmap, may_hold, row_key
+from .common import bitmap, cut, free, in_bitmap, may_hold, row_key, scratch
 from .components import LARGE, linked
 from .minhash import mixed
 
@@ -301,6 +301,11 @@ def repeated_lines(docs: DataFrame, edits: int | tuple[tuple[int, int], ...] = E
 
 def _repeated(docs: DataFrame, edits: int | tuple[tuple[int, int], ...], min_chars: int, text: str) -> DataFrame:
     """As `repeated_lines`, with the row_key (key) of the row that the line is in."""
+    with scratch(docs.sparkSession, ("lines-met", "lines-known")):
+        return _classed(docs, edits, min_chars, text)
+
+
+def _classed(docs: DataFrame, edits: int | tuple[tuple[int, int], ...], min_chars: int, text: str) -> DataFrame:
     steps = steps_of(edits)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), row_key("doc_id", text).alias("key")).filter("doc_id is not null")
     met = cut(rows.select("doc_id", "text", "key").mapInArrow(lambda b: _met(b, min_chars), "doc_id long, key long, line long, node long, n long, chars long, pairs long"), "lines-met", scan=True)
@@ -338,7 +343,7 @@ def _repeated(docs: DataFrame, edits: int | tuple[tuple[int, int], ...], min_cha
         side = lambda p: texts.select(F.col("node").alias(p), F.col("text").alias(f"{p}_text"))
         return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lambda b: _checked(b, steps), "a long, b long")
 
-    comp = linked(postings, lines.select("node", "n", "chars", "pairs"), may, verify, finer)
+    comp = linked(postings, lines.select("node", "n", "chars", "pairs"), may, verify, finer, rounds=1)
     of = cut(lines.join(comp, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component"), "lines-classed")
     firsts = cut(of.groupBy("class").agg(F.min("first").alias("class_first"), F.sum("times").alias("all")).filter("all > 1"), "lines-firsts")
     known = cut(of.join(firsts, "class").select(*same, "class_first"), "lines-known")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, cut, free, may_hold, row_key, without
+from .common import Words, cut, free, may_hold, row_key, scratch, without
 from .components import linked
 
 #: A pair of Jaccard similarity 0.8 has fewer than AGREE collisions in POSTED coordinates, or than MATCHES in
@@ -155,12 +155,17 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80, width: int = SHINGL
 
 def _judged(docs: DataFrame, percent: int, width: int, text: str) -> DataFrame:
     """For each row of docs: doc_id, key (its row_key), n_shingles, least: the least (doc_id, key) reachable, null where it links with nothing."""
+    with scratch(docs.sparkSession, ("minhash-signatures", "minhash-result")):
+        return _classed(docs, percent, width, text)
+
+
+def _classed(docs: DataFrame, percent: int, width: int, text: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", text).alias("key"), F.col(text).cast("string").alias("text"))
     fields = ", ".join(["doc_id long", "key long", "n_shingles long", "print binary", *(f"o{i} long" for i in range(ODD)), *(f"s{i} int" for i in range(COORDINATES))])
     sigs = cut(rows.mapInArrow(lambda b: _signed(b, width), fields), "minhash-signatures", scan=True)
     owned = sigs.filter("print is not null and doc_id is not null")
     reps = cut(owned.groupBy("print").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.min("n_shingles").alias("n_shingles"), *(F.min(f"o{i}").alias(f"o{i}") for i in range(ODD)), *(F.min(f"s{i}").alias(f"s{i}") for i in range(COORDINATES))).withColumn("node", F.xxhash64("print")), "minhash-classes")
-    facts = reps.drop("print", "first")
+    facts = reps.drop("print").withColumn("id", F.col("first.doc_id")).drop("first")
     item = F.explode(F.array(*(F.xxhash64(F.lit(i), F.col(f"s{i}")) for i in range(POSTED)))).alias("bucket")
     items = reps.select("node", item)
     counted = cut(items.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "minhash-items")
@@ -178,7 +183,7 @@ def _judged(docs: DataFrame, percent: int, width: int, text: str) -> DataFrame:
         full = pairs.join(side("a"), "a").join(side("b"), "b").sortWithinPartitions("a")
         return full.mapInArrow(lambda b: _checked(b, percent, width), "a long, b long").distinct()
 
-    comp = linked(postings, facts, lambda a, b: _agree(a, b, percent), verify, _banded)
+    comp = linked(postings, facts, lambda a, b: _agree(a, b, percent), verify, _banded, hub="id")
     grouped = cut(reps.select("print", "node", "first").join(comp, "node", "left").select("print", "first", F.coalesce("component", "node").alias("component")), "minhash-components")
     least = cut(grouped.groupBy("component").agg(F.min("first").alias("least")), "minhash-least")
     classes = cut(grouped.join(least, "component").select("print", "least"), "minhash-result")

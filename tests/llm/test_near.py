@@ -201,8 +201,8 @@ def test_large_buckets_are_dealt_anew_without_loss(spark, monkeypatch):
     rows = [(i, x) for i, x in enumerate(base + near)]
     seen = []
 
-    def spied(postings, facts, may, verify, finer=None):
-        held = components.linked(postings, facts, may, verify, finer)
+    def spied(postings, facts, may, verify, finer=None, **more):
+        held = components.linked(postings, facts, may, verify, finer, **more)
         largest = lambda p: p.groupBy("bucket").count().agg({"count": "max"}).first()[0]
         seen.append((largest(postings), largest(finer(facts))))
         return held
