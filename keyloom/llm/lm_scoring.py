@@ -198,9 +198,11 @@ class Grams:
         self.begins[self.ends] = True
         self.context, self.word = np.zeros(len(words), np.int64), np.arange(len(words))
 
-    def next(self) -> None:
-        """The level of one word more; places are those of the n-grams' last words."""
+    def next(self, only: np.ndarray | None = None) -> None:
+        """The level of one word more (of contexts whose hash is in only); places are those of the n-grams' last words."""
         later = ~self.begins[self.at + 1]
+        if only is not None:
+            later &= np.isin(self.hash, only)[self.of]
         context, at = self.of[later], self.at[later] + 1
         key, self.of = np.unique(context.astype(np.int64) * len(self.short) + self.tokens[at], return_inverse=True)
         self.at, self.order = at, self.order + 1
@@ -234,7 +236,7 @@ def _asked(batches: Iterator[pa.RecordBatch], level: int, shards: int, hot: np.n
             g = _grams(row)
             learns = np.repeat(np.array(row["learns"], np.float64), np.array(row["sizes"], np.int64))
             while g.order < level:
-                g.next()
+                g.next(hot if only_hot and g.order == level - 1 else None)
             times, learnt = np.bincount(g.of, minlength=len(g.word)), np.bincount(g.of, learns[g.at], len(g.word)).astype(np.int64)
             shard, order = g.dealt(shards, hot, spread)
             edges = np.flatnonzero(np.diff(shard, prepend=-1, append=shards + spread + 1))
