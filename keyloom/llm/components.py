@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -38,7 +38,7 @@ LARGE = 200
 ROUNDS, EACH, LEAST = 5, 4, 0.02
 
 
-def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None, hub: str = "node", rounds: int = ROUNDS) -> DataFrame:
+def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame] | None = None, hub: str = "node", rounds: int = ROUNDS, once: bool = False) -> DataFrame:
     """Components (node, component) of the verified links among nodes that share a bucket.
 
     postings: bucket, node (buckets of two nodes or more). facts: node and what `may` compares
@@ -50,6 +50,7 @@ def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Colu
     component can't change the result. So all links count, and a large group of copies costs
     about one pair a copy. For that comparison the nodes of buckets of more than LARGE nodes are
     dealt anew by finer (rows of facts to narrower buckets that a pair worth verifying still shares).
+    once: pairs share many buckets, so each is to come out of the least one alone (a node carries its lesser buckets, whose number is bounded).
     """
     hubs = postings.join(facts.select("node", F.struct(hub, "node").alias("h")), "node") if hub != "node" else postings.withColumn("h", F.struct("node"))
     least = cut(hubs.groupBy("bucket").agg(F.min("h")["node"].alias("a")), "bucket-least")
@@ -81,9 +82,12 @@ def linked(postings: DataFrame, facts: DataFrame, may: Callable[[str, str], Colu
         some = cut(dealt.select("bucket", "node", "c").union(tagged.join(sizes.filter(F.col("size") <= LARGE).select("bucket"), "bucket").select("bucket", "node", "c")), "links-dealt")
         sizes = _mixed(some)
         tagged = some
-    left = cut(tagged.join(sizes.select("bucket"), "bucket").join(facts, "node"), "links-left")
+    left = tagged.join(sizes.select("bucket"), "bucket")
+    if once:
+        left = left.withColumn("lesser", F.collect_list("bucket").over(Window.partitionBy("node").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
+    left = cut(left.join(facts, "node"), "links-left")
     one, two = (left.select(*(F.col(c).alias(f"{p}_{c}") for c in left.columns)) for p in "ab")
-    across = one.join(two, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_c") != F.col("b_c")) & may("a_", "b_"))
+    across = one.join(two, (F.col("a_bucket") == F.col("b_bucket")) & (F.col("a_node") < F.col("b_node")) & (F.col("a_c") != F.col("b_c")) & may("a_", "b_") & (~F.arrays_overlap("a_lesser", "b_lesser") if once else F.lit(True)))
     across = cut(across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct(), "links-across")
     tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(verify(cut(across.join(tried, ["a", "b"], "left_anti"), "links-across")), "links-more")

@@ -183,7 +183,7 @@ def _classed(docs: DataFrame, percent: int, width: int, text: str) -> DataFrame:
         full = pairs.join(side("a"), "a").join(side("b"), "b").sortWithinPartitions("a")
         return full.mapInArrow(lambda b: _checked(b, percent, width), "a long, b long").distinct()
 
-    comp = linked(postings, facts, lambda a, b: _agree(a, b, percent), verify, _banded, hub="id")
+    comp = linked(postings, facts, lambda a, b: _agree(a, b, percent), verify, _banded, hub="id", once=True)
     grouped = cut(reps.select("print", "node", "first").join(comp, "node", "left").select("print", "first", F.coalesce("component", "node").alias("component")), "minhash-components")
     least = cut(grouped.groupBy("component").agg(F.min("first").alias("least")), "minhash-least")
     classes = cut(grouped.join(least, "component").select("print", "least"), "minhash-result")
